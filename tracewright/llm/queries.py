@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, lattice, packing, simhash, toxicity
+from . import langid, lattice, packing, simhash, toxicity, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,6 +34,21 @@ def op6_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.predict(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+@query
+def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(table(spark, sf_dir, "pages")).drop("url")
+
+
+ORACLES["op7_warc_revisits"] = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS b, sha1(coalesce(html, '')) AS d FROM pages),
+r AS (SELECT d, max(page_id) AS last FROM p WHERE b >= 1000 GROUP BY d)
+SELECT page_id, b AS payload_bytes, d AS payload_digest,
+  CASE WHEN b >= 1000 AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN b >= 1000 AND page_id <> last THEN last END AS refers_to
+FROM p LEFT JOIN r USING (d)
+"""
+
+
 @query
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.predict(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
