@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +41,11 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` with ``value`` computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def lookup(left: DataFrame, right: DataFrame, key: str, copies: str, spread: str) -> DataFrame:
     """Left join ``left`` with ``right`` (one row per ``key``; ``copies``: how many left rows have the key).
 
