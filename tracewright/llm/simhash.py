@@ -39,15 +39,15 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, fp)``: fp the fingerprint as a signed long. A null text counts as empty."""
+    """``(doc_id, doc, fp)``: doc a hash of the text, fp the fingerprint as a signed long. A null text counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = np.array([fingerprint(t or b"") for t in batch.column(1).to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got.view(np.int64))], names=["doc_id", "fp"])
+            got = np.array([fingerprint(t or b"") for t in batch.column(2).to_pylist()], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(got.view(np.int64))], names=["doc_id", "doc", "fp"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("t"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("doc"), F.col(text_col).cast("binary").alias("t"))
+    return rows.mapInArrow(run, "doc_id long, doc long, fp long")
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -211,6 +211,15 @@ def _cells(cols: list[np.ndarray], bounds: np.ndarray, radius: int) -> np.ndarra
     return np.concatenate(found) if found else np.empty((0, 2), dtype=np.uint64)
 
 
+def _classes(prints: DataFrame, radius: int) -> DataFrame:
+    """``(fp, root, copies, first)`` of each distinct fingerprint; first is its first row by (no id, id, doc)."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "doc"))
+    classes = cut(prints.groupBy("fp").agg(first.alias("first"), F.count("*").alias("copies")))
+    roots = components(links(classes.select("fp"), radius))
+    joined = classes.join(roots, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp"))
+    return cut(joined.select("fp", "root", "copies", "first"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4) -> DataFrame:
     """``(doc_id, fingerprint, component_id)``, a row per row of ``docs``.
 
@@ -219,13 +228,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     id takes part in links but is never a component_id, unless no member has an id. Repeated ids keep their rows.
     Each distinct fingerprint is searched once, however many documents have it.
     """
-    prints = cut(fingerprints(docs, id_col, text_col))
-    classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("copies")))
-    roots = components(links(classes.select("fp"), radius))
-    joined = classes.join(roots, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp"))
-    joined = cut(joined.select("fp", "root", "least_id", "copies"))
-    least = joined.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    found = joined.join(least, "root").select("fp", "component_id", "copies")
+    prints = cut(fingerprints(docs, id_col, text_col).drop("doc").withColumn("doc", F.lit(0)))
+    joined = _classes(prints, radius)
+    least = joined.groupBy("root").agg(F.min("first").alias("least"))
+    found = joined.join(least, "root").select("fp", F.col("least.doc_id").alias("component_id"), "copies")
     return lookup(prints, found, "fp", "copies", "doc_id").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4) -> DataFrame:
+    """The one row of ``docs`` of each component that has the smallest id; of those that share it, one text.
+
+    A component without any id keeps one row as well, and rows that repeat id and text count as one.
+    """
+    joined = _classes(cut(fingerprints(docs, id_col, text_col)), radius)
+    kept = joined.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("_id"), F.col("first.doc").alias("_kept"))
+    marked = docs.withColumn("_doc", F.xxhash64(F.col(text_col).cast("string")))
+    found = marked.join(kept, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_doc") == F.col("_kept")), "left_semi")
+    return found.dropDuplicates([id_col, "_doc"]).drop("_doc")
