@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import math
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -92,14 +91,14 @@ def records(resolved: DataFrame) -> DataFrame:
     )
 
 
-def write(resolved: DataFrame, folder: str, payload_bytes: int) -> None:
-    """Write the records as gzipped archives of about FILE_BYTES, by Spark's own committer.
+def write(resolved: DataFrame, folder: str, mean_bytes: float) -> None:
+    """Write the records as gzipped archives of about FILE_BYTES at most, by Spark's own committer.
 
-    The text writer ends each row with the two line ends that close a record, so its files are archives.
+    The text writer ends each row with the two line ends that close a record, so its files are archives. They follow
+    the partitions of the join that resolved the records, and a large partition is written as several files.
     """
-    files = max(1, math.ceil(payload_bytes / FILE_BYTES))
-    # by hash: a task that runs again deals its rows alike
-    records(resolved.repartition(files, "page_id", "url", "payload_digest")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").mode("overwrite").text(folder)
+    most = max(1, int(FILE_BYTES / max(1.0, mean_bytes)))
+    records(resolved).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", most).mode("overwrite").text(folder)
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], memoryview]]:
@@ -152,6 +151,6 @@ def archive(pages: DataFrame, folder: str | None = None, id_col: str = "page_id"
     """Write ``pages`` as archives to ``folder`` (by default a new one in the shared folder) and read them back."""
     spark = pages.sparkSession
     folder = folder or f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
-    total = pages.agg(F.sum(F.octet_length(F.col(html_col)))).first()[0] or 0
-    write(resolve(pages, id_col, url_col, html_col), folder, total)
+    mean = pages.agg(F.avg(F.octet_length(F.col(html_col)))).first()[0] or 0.0
+    write(resolve(pages, id_col, url_col, html_col), folder, mean)
     return read(spark, folder)
