@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from tracewright.plans import lineage, reports, resolution, texts  # noqa: F401  they register their queries
+from tracewright.plans.registry import ORACLES, QUERIES
 
 FLAGSHIP = "find_by_table"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
