@@ -10,13 +10,14 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 DEFAULT_SCHEMA, SYSTEM_SCHEMA = "dbo", "sys"
 #: Schema sources, strongest first.
 SOURCES = ("written", "module_schema", "default_schema", "system", "unresolved")
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def _casefold(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else t.casefold())
 
