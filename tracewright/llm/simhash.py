@@ -99,6 +99,8 @@ def forest(left: np.ndarray, right: np.ndarray | None, radius: int) -> list[tupl
 
     Joined codes are never compared for a link they no longer need: once two leaves are in one tree, their pair goes.
     """
+    if not len(left) or right is not None and not len(right):
+        return []
     x = GrayIndex(left)
     y = x if right is None else GrayIndex(right)
     base = 0 if right is None else len(left)
