@@ -115,3 +115,12 @@ def freshness(caches: DataFrame) -> DataFrame:
 def merge_scans(scans: DataFrame) -> DataFrame:
     """``scans(system, ord, files, calls, source)`` -> sums, and the source of the later scan."""
     return scans.groupBy("system").agg(F.sum("files").alias("files"), F.sum("calls").alias("calls"), F.max_by("source", "ord").alias("source"))
+
+
+def data_status(systems: DataFrame, clones: DataFrame, scans: DataFrame) -> DataFrame:
+    """``systems(system)``, ``clones(system)``, ``scans(system, outdated)`` -> state of each system's clone and scan."""
+    c = clones.select("system").distinct().withColumn("cloned", F.lit(True))
+    s = scans.groupBy("system").agg(F.max("outdated").alias("old"))
+    joined = systems.join(c, "system", "left").join(s, "system", "left")
+    scan = F.when(F.col("old").isNull(), "missing").when(F.col("old"), "outdated").otherwise("current")
+    return joined.select("system", F.when(F.col("cloned"), "cloned").otherwise("missing").alias("clone"), scan.alias("scan"))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracewright.operators import access, rank
+from tracewright.functions import text as X
+from tracewright.operators import access, aggregate, answers, graph, paths, rank
+from tracewright.sources import config
 
 from .registry import query
 
@@ -179,3 +181,64 @@ def ordered_unique(t):
     """Distinct items in the order of their first occurrence."""
     items = F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_returnflag"))), lambda x: x["l_returnflag"])
     return t("lineitem").groupBy("l_orderkey").agg(F.array_join(F.array_distinct(F.filter(items, lambda x: x != "")), ",").alias("items"))
+
+
+@query("""SELECT module_no, module_no % 2 = 0 AS dynamic_sql, module_no % 3 = 0 AS temp_table, module_no % 5 = 0 AS cursor, module_no % 7 = 0 AS transaction, module_no % 11 < 6 AS receiver FROM module""", "module")
+def module_flags(t):
+    """What a definition contains, and types that can hold a connection."""
+    m = F.col("module_no")
+    part = lambda k, text: F.when(m % k == 0, text).otherwise("")
+    text = F.concat_ws("\n", F.lit("SELECT 1"), part(2, "EXEC (@s)"), part(3, "SELECT a INTO #t FROM b"), part(5, "declare c CURSOR FOR SELECT 1"), part(7, "BEGIN TRAN"))
+    kind = F.when(m % 11 == 0, "SqlConnection").when(m % 11 == 1, "AppDbContext").when(m % 11 == 2, "IDbConnection").when(m % 11 == 3, "OrderRepository").when(m % 11 < 6, "DapperContext").otherwise("StringBuilder")
+    return t("module").select("module_no", X.flags(text).alias("f"), X.receiver_signal(kind).alias("receiver")).select("module_no", "f.dynamic_sql", "f.temp_table", "f.cursor", "f.transaction", "receiver")
+
+
+@query("""WITH RECURSIVE e AS (SELECT c_custkey AS source, (c_custkey * 3 + 1) % 150 AS target FROM customer WHERE c_custkey < 150 AND c_custkey % 4 <> 0), r AS (SELECT c_custkey AS origin, c_custkey AS node FROM customer WHERE c_custkey < 20 UNION SELECT r.origin, e.target FROM r JOIN e ON e.source = r.node) SELECT origin, node FROM r""")
+def shared_components(t):
+    """Partial views that a view holds, each once."""
+    c = F.col("c_custkey")
+    edges = t("customer").filter("c_custkey < 150 and c_custkey % 4 <> 0").select(c.alias("source"), ((c * 3 + 1) % 150).alias("target"))
+    return graph.reach(t("customer").filter("c_custkey < 20").select(c.alias("origin"), c.alias("node")), edges).select("origin", "node")
+
+
+@query("""SELECT o_orderkey AS access_id, 's' || s_suppkey AS base, 'READ_INDIRECT' AS access_type FROM orders JOIN supplier ON s_nationkey = o_custkey % 40""")
+def inline_lineage(t):
+    """Base tables behind a view that inline SQL reads."""
+    reads = t("orders").select(F.col("o_orderkey").alias("access_id"), F.concat(F.lit("v"), F.col("o_custkey") % 40).alias("target"))
+    lineage = t("supplier").select(F.concat(F.lit("v"), "s_nationkey").alias("container"), F.concat(F.lit("s"), "s_suppkey").alias("base"))
+    return paths.with_lineage(reads, lineage).select("access_id", "base", "access_type")
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_custkey % 5 = 0 THEN 'missing' WHEN o_custkey % 3 = 0 THEN 'stale' ELSE 'current' END AS source_state FROM orders WHERE o_orderkey % 50 = 7""")
+def path_evidence(t):
+    """A path with the state of its source file."""
+    f = F.concat(F.lit("f"), "o_custkey").alias("file")
+    records = t("orders").select("o_orderkey", f, F.when(F.col("o_orderkey") % 50 == 7, "P-1").otherwise("P-2").alias("path_id"))
+    snapshots = t("orders").select(f, F.lit("a").alias("hash"), F.when(F.col("o_custkey") % 5 == 0, None).when(F.col("o_custkey") % 3 == 0, "b").otherwise("a").alias("read_hash")).distinct()
+    return answers.path_evidence(records, "P-1", snapshots).select("o_orderkey", "source_state")
+
+
+@query("""WITH e AS (SELECT s_nationkey AS path, s_suppkey % 4 AS key, s_name AS value, s_suppkey AS ord, s_suppkey % 9 = 4 AS stops, s_suppkey % 27 = 4 AS every FROM supplier),
+ l AS (SELECT a.path, a.key, a.value, a.ord FROM e a WHERE NOT a.stops AND NOT EXISTS (SELECT 1 FROM e b WHERE b.stops AND b.path = a.path AND b.ord > a.ord AND (b.every OR b.key = a.key)))
+SELECT path, CAST(key AS VARCHAR) AS key, max_by(value, ord) AS value FROM l GROUP BY 1, 2""")
+def settings_in_force(t):
+    """Entries left after ordered removes and clears."""
+    s = F.col("s_suppkey")
+    entries = t("supplier").select(F.col("s_nationkey").alias("path"), F.lit("app_settings").alias("namespace"), F.when(s % 27 == 4, "*").otherwise((s % 4).cast("string")).alias("key"), F.col("s_name").alias("value"), s.alias("ord"), (s % 9 == 4).alias("stops"))
+    return config.table(entries).select("path", "key", "value")
+
+
+@query("""WITH r AS (SELECT n_regionkey AS resource, n_nationkey AS key, n_name AS value FROM nation WHERE n_regionkey <> 3), f AS (SELECT c_custkey AS field, c_custkey % 6 AS resource, c_nationkey AS key FROM customer)
+SELECT field, r.value AS text, CASE WHEN f.resource NOT IN (SELECT resource FROM r) THEN 'resource_file_not_found' WHEN r.value IS NULL THEN 'resource_key_not_found' ELSE '' END AS reason FROM f LEFT JOIN r ON r.resource = f.resource AND r.key = f.key""")
+def display_texts(t):
+    """Display texts of fields, or why there is none."""
+    resources = t("nation").filter("n_regionkey <> 3").select(F.col("n_regionkey").cast("long").alias("resource"), F.col("n_nationkey").alias("key"), F.col("n_name").alias("value"))
+    return config.display_text(t("customer").select(F.col("c_custkey").alias("field"), (F.col("c_custkey") % 6).alias("resource"), F.col("c_nationkey").alias("key")), resources)
+
+
+@query("""SELECT n_nationkey AS system, CASE WHEN n_nationkey % 4 = 0 THEN 'missing' ELSE 'cloned' END AS clone, CASE WHEN s.n IS NULL THEN 'missing' WHEN s.old > 0 THEN 'outdated' ELSE 'current' END AS scan FROM nation LEFT JOIN (SELECT s_nationkey, count(*) AS n, count(*) FILTER (s_suppkey % 6 = 0) AS old FROM supplier GROUP BY 1) s ON s_nationkey = n_nationkey""")
+def data_status(t):
+    """Clone and scan state of each system."""
+    scans = t("supplier").select(F.col("s_nationkey").alias("system"), (F.col("s_suppkey") % 6 == 0).alias("outdated"))
+    clones = t("nation").filter("n_nationkey % 4 <> 0").select(F.col("n_nationkey").alias("system"))
+    return aggregate.data_status(t("nation").select(F.col("n_nationkey").alias("system")), clones, scans)
