@@ -163,23 +163,10 @@ def test_right_vectors_are_those_of_a_full_decomposition(spark):
 # 4
 
 
-def test_lines_equal_brute_force(spark):
-    rng = random.Random(6)
-    base = [prose(i, 12, 300) for i in range(25)]
-    texts = []
-    for _ in range(60):
-        out = []
-        for _ in range(rng.randrange(1, 6)):
-            w = rng.choice(base).split()
-            if rng.random() < 0.5:
-                w[rng.randrange(len(w))] = "other"
-            out.append((" " * rng.randrange(1, 3)).join(w).title() if rng.random() < 0.3 else " ".join(w))
-        texts.append("\n".join(out))
-    texts += [*ODD, "| a | b |", "| c | d |"]
-    df = docs(spark, texts)
-    got = {r["doc_id"]: r["text"] for r in lines.deduplicate(df).collect()}
-    occ = lines._occurrences(df.select(F.col("doc_id").alias("id"), "text")).select("id", "doc", "place", F.xxhash64("words").alias("line"), lines._coded("words").alias("codes"))
-    table = {r["line"]: r["codes"] for r in occ.collect()}
+def brute_lines(spark, df):
+    """Text by id after deduplication, with every pair of distinct lines looked at."""
+    occ = lines._occurrences(df.select(F.col("doc_id").alias("id"), "text")).select("id", "doc", "place", F.xxhash64("words").alias("line"), lines._coded("words").alias("codes")).collect()
+    table = {r["line"]: r["codes"] for r in occ}
     sims = {r["line"]: r["sim"] & (2**64 - 1) for r in lines._simhash(spark.createDataFrame(list(table.items()), "line long, codes string")).collect()}
     root = {k: k for k in table}
 
@@ -197,20 +184,40 @@ def test_lines_equal_brute_force(spark):
         return row[-1]
 
     keys = list(table)
+    codes = np.array([sims[k] for k in keys], dtype=np.uint64)
     for i, a in enumerate(keys):
-        for b in keys[:i]:
-            x, y = table[a], table[b]
-            if min(len(x), len(y)) >= 5 and (sims[a] ^ sims[b]).bit_count() <= 3 and distance(x, y) <= int(max(len(x), len(y)) * 0.2 + 1e-9):
-                p, q = find(a), find(b)
+        for j in np.flatnonzero(np.bitwise_count(codes[:i] ^ codes[i]) <= 3):
+            x, y = table[a], table[keys[j]]
+            if min(len(x), len(y)) >= 5 and distance(x, y) <= int(max(len(x), len(y)) * 0.2 + 1e-9):
+                p, q = find(a), find(keys[j])
                 root[max(p, q)] = min(p, q)
     seen, gone = set(), collections.defaultdict(set)
-    for r in sorted(occ.collect(), key=lambda r: (r["id"], r["doc"], r["place"])):
+    for r in sorted(occ, key=lambda r: (r["id"], r["doc"], r["place"])):
         if find(r["line"]) in seen:
             gone[r["id"]].add(r["place"])
         seen.add(find(r["line"]))
-    for i, t in enumerate(texts):
-        assert got[i] == (None if t is None else "\n".join(x for j, x in enumerate(t.split("\n")) if j not in gone[i]))
-    assert sum(map(len, gone.values())) > 60
+    texts = {r["doc_id"]: r["text"] for r in df.collect()}
+    return {i: None if t is None else "\n".join(x for j, x in enumerate(t.split("\n")) if j not in gone[i]) for i, t in texts.items()}
+
+
+@pytest.mark.parametrize("few", [16, 1])
+def test_lines_equal_brute_force(spark, monkeypatch, few):
+    monkeypatch.setattr(lines, "FEW", few)
+    rng = random.Random(6)
+    base = [prose(i, 12, 300) for i in range(25)]
+    texts = []
+    for _ in range(60):
+        out = []
+        for _ in range(rng.randrange(1, 6)):
+            w = rng.choice(base).split()
+            if rng.random() < 0.5:
+                w[rng.randrange(len(w))] = "other"
+            out.append((" " * rng.randrange(1, 3)).join(w).title() if rng.random() < 0.3 else " ".join(w))
+        texts.append("\n".join(out))
+    df = docs(spark, [*texts, *ODD, "| a | b |", "| c | d |"])
+    want = brute_lines(spark, df)
+    assert {r["doc_id"]: r["text"] for r in lines.deduplicate(df).collect()} == want
+    assert sum((want[i] or "").count("\n") + 1 for i in range(60)) < sum(t.count("\n") + 1 for t in texts) - 60
 
 
 def test_lines_with_clashing_columns_repeats_and_nothing(spark):
