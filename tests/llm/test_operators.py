@@ -165,7 +165,7 @@ def test_right_vectors_are_those_of_a_full_decomposition(spark):
 
 def brute_lines(spark, df):
     """Text by id after deduplication, with every pair of distinct lines looked at."""
-    occ = lines._occurrences(df.select(F.col("doc_id").alias("id"), "text")).select("id", "doc", "place", F.xxhash64("words").alias("line"), lines._coded("words").alias("codes")).collect()
+    occ = lines._occurrences(df.select(F.col("doc_id").alias("id"), "text")).select("id", "doc", "place", "line", lines._coded("words").alias("codes")).collect()
     table = {r["line"]: r["codes"] for r in occ}
     sims = {r["line"]: r["sim"] & (2**64 - 1) for r in lines._simhash(spark.createDataFrame(list(table.items()), "line long, codes string")).collect()}
     root = {k: k for k in table}

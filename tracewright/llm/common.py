@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: A key is hot when it holds more than 1/HOT_SHARE of the rows; so at most HOT_SHARE keys are hot.
 HOT_SHARE = 500
+#: Edges of one checkpoint file, about.
+EDGES = 250_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -107,7 +109,8 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m")
         small = large.join(low, F.col("a") == F.col("u"))
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").union(low.select(F.col("u"), F.col("m")))
-        now = cut(small.distinct())
+        # edges become no more, so a small set is kept in few files; a round of a large one keeps its partitions
+        now = cut(small.distinct().coalesce(before[0] // EDGES + 1))
         after = mark(now)
         if after == before:
             break
