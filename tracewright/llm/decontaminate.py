@@ -14,12 +14,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A benchmark is searched in blocks of so many words, so that what is broadcast for a block is bounded by it.
-BLOCK_WORDS = 50_000
 #: A passage of the corpus has CELLS cells of STEP words; passages start at each cell. An item's passage has so many words at most.
 STEP, CELLS = 16, 2
 #: Latent dimensions, extra ones of the range finder, power iterations.
 RANK, EXTRA, ROUNDS = 192, 16, 2
+#: A benchmark is searched in blocks of so many passages, so that RANK dimensions hold most of each and what is broadcast is bounded.
+BLOCK_PASSAGES = RANK * 5 // 2
+#: For items of fewer words than a passage it falls with the root of their share of one.
 MIN_COSINE = 0.4
 #: Share of an item's words, in order, that proves a copy; that suffices if the answer is there as well.
 COPY, PARAPHRASE, ANSWER = 0.8, 0.6, 0.8
@@ -39,6 +40,12 @@ def answer_of(text: str) -> list[str]:
     return parts[-1] if len(parts) > 1 else words(text)[-max(1, len(words(text)) // 3) :]
 
 
+def starts(n: int) -> range:
+    """Where the passages of an item of ``n`` words start."""
+    half = STEP * CELLS // 2
+    return range(0, max(1, n - half), half)
+
+
 def common_subsequence(a: list, b: list) -> int:
     """Length of the longest common subsequence, a bit of an integer for each place of ``a``."""
     at: dict = {}
@@ -75,23 +82,23 @@ class Items:
         passages, owner = [], []
         size = STEP * CELLS
         for i, t in enumerate(texts):
-            for start in range(0, max(1, len(t) - size // 2), size // 2):
+            for start in starts(len(t)):
                 passages.append([terms[w] for w in t[start : start + size]])
                 owner.append(i)
         return cls([i for i, _ in rows], texts, [answer_of(t) for _, t in rows], terms, passages, np.array(owner, dtype=np.int64))
 
 
 def blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[Items]:
-    """The benchmark's items, those without a word left out, in blocks of BLOCK_WORDS words or one item."""
+    """The benchmark's items, those without a word left out, in blocks of BLOCK_PASSAGES passages or one item."""
     held, n = [], 0
     for r in benchmark.select(F.col(id_col), F.col(text_col).cast("string")).toLocalIterator():
         size = len(words(r[1]))
-        if held and n + size > BLOCK_WORDS:
+        if held and size and n + len(starts(size)) > BLOCK_PASSAGES:
             yield Items.of(held)
             held, n = [], 0
         if size:
             held.append((r[0], r[1]))
-            n += size
+            n += len(starts(size))
     if held:
         yield Items.of(held)
 
@@ -167,6 +174,8 @@ class Retriever:
         self.lift[:-1, -1] = np.append(idf, np.median(idf)) ** 2
         latent = np.stack([self.lift[p, :-1].sum(axis=0) for p in items.passages])
         self.targets = (latent / np.maximum(1e-9, np.linalg.norm(latent, axis=1, keepdims=True))).T.astype(np.float32)
+        lengths = np.array([len(items.texts[i]) for i in items.owner])
+        self.least = (MIN_COSINE * np.sqrt(np.minimum(1, lengths / (STEP * CELLS)))).astype(np.float32)
         self.bags = [Counter(t) for t in items.texts]
 
     def search(self, texts: list[str | None]) -> list[dict[int, tuple[float, float, bool]]]:
@@ -193,7 +202,7 @@ class Retriever:
         passages, norms = np.ascontiguousarray(passages[:, :-1]), np.sqrt(np.maximum(1e-9, passages[:, -1]))
         for a in range(0, len(passages), BATCH):
             cosine = passages[a : a + BATCH] @ self.targets / norms[a : a + BATCH, None]
-            for p, t in zip(*np.nonzero(cosine >= MIN_COSINE)):
+            for p, t in zip(*np.nonzero(cosine >= self.least)):
                 d, i = int(doc[a + p]), int(self.items.owner[t])
                 self.verify(found[d], tokens[d], int(cell[a + p]) * STEP, i, float(cosine[p, t]))
         return found
