@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import gc
+import contextlib
+import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,10 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a test session without one gets a local folder."""
+    """The folder that driver and executors share: of spark.checkpoint.dir, or in a local session one of its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        folder = "/tmp/checkpoints"
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="checkpoints-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -32,21 +35,49 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """Materialise in the shared folder, so that lost executors lose nothing and lineage ends here."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with _shuffles_removed(df.sparkSession):
+        return df.checkpoint(eager=True)
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """As ``cut``, in a compact columnar table: for wide rows and for many."""
+    """As ``cut``, in a compact columnar table: for wide rows and for many. ``discard`` removes it."""
     folder = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(folder)
-    release(df.sparkSession)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
-
-
-def release(spark: SparkSession) -> None:
-    """Let the driver drop the shuffle files of tables that are written: it does so when it collects its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    with _shuffles_removed(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(folder)
+    out = df.sparkSession.read.schema(df.schema).parquet(folder)
+    out._folder = folder
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables of ``stored`` that no result still reads."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._folder)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+@contextlib.contextmanager
+def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """What is written inside leaves no shuffle files: once a table is in the shared folder nobody reads them again."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """Column names that ``docs`` does not have, in either case."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name in taken:
+            name += "_"
+        out.append(name)
+        taken.add(name)
+    return out
 
 
 def fold(doc_id: Column, n: int) -> Column:

@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, cut, lookup
 
 BITS, SHINGLE, SEED = 64, 4, 42
-#: Rows of one index; a larger bucket is dealt over several, each pair of its parts once.
+#: Rows of one cell; a larger bucket is dealt over several parts, each pair of its parts a cell.
 PART = 4096
-LEAF, FAN = 64, 8
+#: Codes of a lowest node, nodes of the one above, pairs of nodes that are looked at at once.
+LEAF, FAN, CHUNK = 16, 8, 2048
+#: Rows over which one index is built: many cells, or one.
+STRETCH = 1 << 16
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -39,93 +42,104 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, doc, fp)``: doc a hash of the text, fp the fingerprint as a signed long. A null text counts as empty."""
+    """``(doc_id, fp)``: fp the fingerprint as a signed long. A null text counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = np.array([fingerprint(t or b"") for t in batch.column(2).to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(got.view(np.int64))], names=["doc_id", "doc", "fp"])
+            got = np.array([fingerprint(t or b"") for t in batch.column(1).to_pylist()], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got.view(np.int64))], names=["doc_id", "fp"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("doc"), F.col(text_col).cast("binary").alias("t"))
-    return rows.mapInArrow(run, "doc_id long, doc long, fp long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("t"))
+    return rows.mapInArrow(run, "doc_id long, fp long")
 
 
-def gray_rank(x: np.ndarray) -> np.ndarray:
-    """Place of each code in the Gray sequence."""
-    x = x.copy()
+def gray_rank(code: Column) -> Column:
+    """Place of a code in the Gray sequence, as a signed long: the order is the sequence's, begun at its middle."""
     for s in (1, 2, 4, 8, 16, 32):
-        x ^= x >> np.uint64(s)
-    return x
+        code = code.bitwiseXOR(F.shiftrightunsigned(code, s))
+    return code
 
 
 class GrayIndex:
-    """Codes in Gray order under nodes that hold the bits all their codes share.
+    """Codes of W words, sorted by cell and then by Gray rank, under nodes that hold the bits all their codes share.
 
-    Level 0 has LEAF codes a node, each level above FAN nodes of the one below. The bits in which two nodes'
-    shared patterns differ bound the distance of every pair below them, so whole pairs of groups go at once.
+    A lowest node has LEAF codes in a row, each node above FAN nodes of the level below. The bits in which the shared
+    patterns of two nodes differ bound the distance of every pair below them from beneath, so whole pairs of groups go
+    at once; so do pairs of nodes without a cell in common. ``pruned`` and ``compared`` count the pairs of nodes that
+    went and the pairs of codes that were looked at.
     """
 
-    def __init__(self, codes: np.ndarray):
-        self.order = np.argsort(gray_rank(codes), kind="stable")
-        self.codes = codes[self.order]
+    def __init__(self, codes: np.ndarray, cell: np.ndarray):
+        self.codes, self.cell, self.pruned, self.compared = codes, cell, 0, 0
         starts = np.arange(0, len(codes), LEAF)
-        ones, zeros = np.bitwise_and.reduceat(self.codes, starts), np.bitwise_and.reduceat(~self.codes, starts)
-        self.levels = [(ones, zeros)]
+        ones, zeros = np.bitwise_and.reduceat(codes, starts), np.bitwise_and.reduceat(~codes, starts)
+        self.levels = [(ones, zeros, cell[starts], cell[np.minimum(starts + LEAF, len(codes)) - 1])]
         while len(self.levels[-1][0]) > 1:
-            ones, zeros = self.levels[-1]
+            ones, zeros, first, last = self.levels[-1]
             starts = np.arange(0, len(ones), FAN)
-            self.levels.append((np.bitwise_and.reduceat(ones, starts), np.bitwise_and.reduceat(zeros, starts)))
-
-    def leaf_pairs(self, other: GrayIndex, radius: int) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs of leaves that may hold codes at ``radius`` or less."""
-        n, m = len(self.levels), len(other.levels)
-        a, b = np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64)
-        for depth in range(max(n, m) - 1, -1, -1):
-            for own, mine in ((self, True), (other, False)):
-                if depth < len(own.levels) - 1:
-                    kids = (a if mine else b)[:, None] * FAN + np.arange(FAN)
-                    ok = kids < len(own.levels[depth][0])
-                    rows = np.repeat(np.arange(len(a)), FAN)[ok.ravel()]
-                    kids = kids.ravel()[ok.ravel()]
-                    a, b = (kids, b[rows]) if mine else (a[rows], kids)
-            (o1, z1), (o2, z2) = self.levels[min(depth, n - 1)], other.levels[min(depth, m - 1)]
-            keep = np.bitwise_count((o1[a] & z2[b]) | (z1[a] & o2[b])) <= radius
+            self.levels.append((np.bitwise_and.reduceat(ones, starts), np.bitwise_and.reduceat(zeros, starts), first[starts], last[np.minimum(starts + FAN, len(ones)) - 1]))
+
+    def leaf_pairs(self, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of lowest nodes, the first not after the second, that may hold codes of one cell within ``radius``."""
+        top = len(self.levels) - 1
+        stack = [(top, np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64))]
+        while stack:
+            depth, a, b = stack.pop()
+            ones, zeros, first, last = self.levels[depth]
+            keep = last[a] >= first[b]
             a, b = a[keep], b[keep]
-        return a, b
-
-
-def forest(left: np.ndarray, right: np.ndarray | None, radius: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links at ``radius`` or less within ``left``, or between ``left`` and ``right``.
-
-    Joined codes are never compared for a link they no longer need: once two leaves are in one tree, their pair goes.
-    """
-    if not len(left) or right is not None and not len(right):
-        return []
-    x = GrayIndex(left)
-    y = x if right is None else GrayIndex(right)
-    base = 0 if right is None else len(left)
-    codes = x.codes if right is None else np.concatenate([x.codes, y.codes])
-    tree = np.arange(len(codes))
-    edges: list[tuple[int, int]] = []
-    a, b = x.leaf_pairs(y, radius)
-    if right is None:
-        keep = a <= b
-        a, b = a[keep], b[keep]
-    for i, j in zip(a.tolist(), b.tolist()):
-        p = np.arange(i * LEAF, min((i + 1) * LEAF, len(left)))
-        q = base + np.arange(j * LEAF, min((j + 1) * LEAF, len(y.codes)))
-        if (tree[p] == tree[p[0]]).all() and (tree[q] == tree[p[0]]).all():
-            continue
-        near = np.bitwise_count(codes[p][:, None] ^ codes[q][None, :]) <= radius
-        near &= tree[p][:, None] != tree[q][None, :]
-        while near.any():
-            r, c = (int(v) for v in np.unravel_index(int(near.argmax()), near.shape))
-            u, v = int(p[r]), int(q[c])
-            edges.append((int(codes[u]), int(codes[v])))
-            old, new = max(tree[u], tree[v]), min(tree[u], tree[v])
-            tree[tree == old] = new
-            near &= tree[p][:, None] != tree[q][None, :]
-    return edges
+            near = np.bitwise_count((ones[a] & zeros[b]) | (zeros[a] & ones[b])).sum(axis=1, dtype=np.int64) <= radius
+            self.pruned += len(a) - int(near.sum())
+            a, b = a[near], b[near]
+            if not depth:
+                yield a, b
+                continue
+            below, kids = len(self.levels[depth - 1][0]), np.arange(FAN)
+            for k in range(0, len(a), CHUNK // FAN):
+                x = np.repeat(a[k : k + CHUNK // FAN, None] * FAN + kids, FAN, axis=1).ravel()
+                y = np.tile(b[k : k + CHUNK // FAN, None] * FAN + kids, (1, FAN)).ravel()
+                ok = (x <= y) & (y < below)
+                stack.append((depth - 1, x[ok], y[ok]))
+
+    def near(self, radius: int, group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Places and distances of pairs of one cell within ``radius`` whose ``group`` differs as their turn comes.
+
+        ``group`` may be changed between the turns: two lowest nodes that are all of one group by then are not read.
+        """
+        n, own, starts = len(self.codes), np.arange(LEAF), np.arange(0, len(self.codes), LEAF)
+        for all_a, all_b in self.leaf_pairs(radius):
+            for k in range(0, len(all_a), CHUNK):
+                a, b = all_a[k : k + CHUNK], all_b[k : k + CHUNK]
+                low, high = np.minimum.reduceat(group, starts), np.maximum.reduceat(group, starts)
+                open_ = (low[a] != high[a]) | (low[b] != high[b]) | (low[a] != low[b])
+                p, q = (x[open_, None] * LEAF + own for x in (a, b))
+                pi, qi = np.minimum(p, n - 1), np.minimum(q, n - 1)
+                wanted = (p[:, :, None] < q[:, None, :]) & (q < n)[:, None, :] & (self.cell[pi][:, :, None] == self.cell[qi][:, None, :])
+                wanted &= group[pi][:, :, None] != group[qi][:, None, :]
+                row, i, j = np.nonzero(wanted)
+                u, v = p[row, i], q[row, j]
+                self.compared += len(u)
+                apart = np.bitwise_count(self.codes[u] ^ self.codes[v]).sum(axis=1, dtype=np.int64)
+                hit = apart <= radius
+                yield u[hit], v[hit], apart[hit]
+
+    def forest(self, radius: int) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs within ``radius`` that span all components of such pairs, each cell by itself; near pairs first."""
+        tree, found = np.arange(len(self.codes)), []
+        for u, v, apart in self.near(radius, tree):
+            order = np.argsort(apart, kind="stable")
+            u, v = u[order], v[order]
+            while len(u):
+                a, b = tree[u], tree[v]
+                keep = a != b
+                u, v, high, low = u[keep], v[keep], np.maximum(a, b)[keep], np.minimum(a, b)[keep]
+                # each tree hangs on a lower one by its first pair, so no circle comes about
+                high, first = np.unique(high, return_index=True)
+                tree[high] = low[first]
+                found.append((u[first], v[first]))
+                while not np.array_equal(up := tree[tree], tree):
+                    tree[:] = up
+        return tuple(np.concatenate(side) if found else np.empty(0, dtype=np.int64) for side in (list(zip(*found)) or [[], []]))
 
 
 def masks(radius: int, blocks: int) -> list[int]:
@@ -139,44 +153,43 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def links(codes: DataFrame, radius: int = 4) -> DataFrame:
-    """Distinct ``codes(fp)`` -> ``(a, b)``: a spanning forest of each bucket's links, so components are exact.
+def search(rows: DataFrame, words: list[str], carried: list[str], step: Callable[[GrayIndex, dict], tuple[np.ndarray, np.ndarray]], part: int | None = None) -> DataFrame:
+    """``rows(t, k, id, ...)`` -> ``(a, b)``: ids of the pairs of rows that ``step`` takes from an index of each cell.
 
-    The top nodes of the index are the buckets: codes that share one masked pattern. How many bits a mask has
-    follows from the number of codes (2 blocks of 6, beyond 30 million 3 of 7), which changes cost and not links.
-    A bucket above PART is dealt over parts, and each pair of parts is one task's index.
+    The rows of one (t, k) are a bucket, the index's top node; ``words`` are the columns of a code, ``carried`` those
+    that ``step`` gets besides. A bucket above PART is dealt over parts by a hash of the id, and each pair of parts is a
+    cell, so no task gets a bucket of any size as a whole. Cells are sorted by Gray rank by Spark.
     """
-    blocks = radius + 2 if codes.count() < 30_000_000 else radius + 3
-    keyed = codes.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(signed(m))) for m in masks(radius, blocks)])).alias("t", "k"))
-    sizes = keyed.groupBy("t", "k").agg(F.count("*").alias("n")).filter("n > 1")
-    parts = F.ceil(F.col("n") / PART).cast("int")
-    # pmod of a hash: a bucket's parts are alike in size without ranking the bucket
-    dealt = keyed.join(sizes, ["t", "k"]).withColumn("parts", parts).withColumn("part", F.pmod(F.hash("fp"), F.col("parts")))
-    cells = dealt.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)"))).select(
-        "t", "k", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "fp"
-    )
-    ordered = cells.repartition("t", "k", "i", "j").sortWithinPartitions("t", "k", "i", "j", "part")
+    part = part or PART
+    large = rows.groupBy("t", "k").agg(F.count("*").alias("n")).filter(F.col("n") > part).select("t", "k", F.ceil(F.col("n") / part).cast("int").alias("parts"))
+    dealt = rows.join(large, ["t", "k"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    dealt = dealt.withColumn("part", F.pmod(F.hash("id"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
+    columns = ["t", "k", "i", "j", "id", *words, *carried]
+    cells = dealt.withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other")).withColumn("rank", gray_rank(F.col(words[0])))
+    ordered = cells.repartition("t", "k", "i", "j").sortWithinPartitions("t", "k", "i", "j", "rank").select(columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
+        held: list[list[np.ndarray]] = []
+        rows = 0
         for batch in _ahead(batches):
-            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns] if batch is not None else None
-            if cols is not None and held is not None:
-                cols = [np.concatenate([h, c]) for h, c in zip(held, cols)]
-            elif cols is None:
-                cols = held
-            if cols is None or not len(cols[0]):
+            if batch is not None:
+                held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+                rows += batch.num_rows
+            if not rows or batch is not None and rows < STRETCH:
                 continue
+            cols = [np.concatenate(c) for c in zip(*held)]
             change = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols[:4]], axis=0)) + 1
-            if batch is None:
-                held, stop = None, len(cols[0])
-            else:  # the last cell may go on in the next batch
-                stop = int(change[-1]) if len(change) else 0
-                held = [c[stop:] for c in cols]
-            bounds = np.concatenate([[0], change[change < stop], [stop]]) if stop else np.zeros(1, dtype=np.int64)
-            out = _cells([c[:stop] for c in cols], bounds, radius)
-            if len(out):
-                yield pa.RecordBatch.from_arrays([pa.array(out[:, 0].view(np.int64)), pa.array(out[:, 1].view(np.int64))], names=["a", "b"])
+            stop = len(cols[0]) if batch is None else int(change[-1]) if len(change) else 0  # the last cell may go on
+            held, rows = [[c[stop:] for c in cols]], len(cols[0]) - stop
+            cell = np.zeros(stop, dtype=np.int64)
+            cell[change[change < stop]] = 1
+            cell = np.cumsum(cell)
+            several = (np.bincount(cell) > 1)[cell] if stop else np.zeros(0, dtype=bool)
+            if several.any():
+                here = dict(zip(columns, (c[:stop][several] for c in cols)))
+                index = GrayIndex(np.stack([here[w].view(np.uint64) for w in words], axis=1), cell[several])
+                a, b = step(index, here)
+                yield pa.RecordBatch.from_arrays([pa.array(here["id"][a]), pa.array(here["id"][b])], names=["a", "b"])
 
     return ordered.mapInArrow(run, "a long, b long")
 
@@ -186,66 +199,36 @@ def _ahead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]
     yield None
 
 
-def _cells(cols: list[np.ndarray], bounds: np.ndarray, radius: int) -> np.ndarray:
-    """Edges of the sorted cells between ``bounds``: small ones by shifted comparison, others by their index."""
-    codes, part = cols[5].view(np.uint64), cols[4]
-    same = (cols[2] == cols[3])
-    size = np.diff(bounds)
-    found: list[np.ndarray] = []
-    cell = np.repeat(np.arange(len(size)), size)
-    small = size <= 32
-    rows = np.flatnonzero(small[cell] & same)
-    for d in range(1, int(size[small].max(initial=1))):
-        rows = rows[rows + d < len(codes)]
-        rows = rows[cell[rows + d] == cell[rows]]
-        near = rows[np.bitwise_count(codes[rows] ^ codes[rows + d]) <= radius]
-        if len(near):
-            found.append(np.stack([codes[near], codes[near + d]], axis=1))
-    for c in np.flatnonzero(~small | ~same[bounds[:-1]] if len(size) else small):
-        a, b = int(bounds[c]), int(bounds[c + 1])
-        if same[a]:
-            got = forest(codes[a:b], None, radius)
-        else:
-            mid = a + int(np.searchsorted(part[a:b], cols[3][a]))
-            got = forest(codes[a:mid], codes[mid:b], radius) if a < mid < b else []
-        if got:
-            found.append(np.array(got, dtype=np.uint64))
-    return np.concatenate(found) if found else np.empty((0, 2), dtype=np.uint64)
-
-
-def _classes(prints: DataFrame, radius: int) -> DataFrame:
-    """``(fp, root, copies, first)`` of each distinct fingerprint; first is its first row by (no id, id, doc)."""
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "doc"))
-    classes = cut(prints.groupBy("fp").agg(first.alias("first"), F.count("*").alias("copies")))
-    roots = components(links(classes.select("fp"), radius))
-    joined = classes.join(roots, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp"))
-    return cut(joined.select("fp", "root", "copies", "first"))
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4) -> DataFrame:
+def links(codes: DataFrame, radius: int = 4, blocks: int | None = None) -> DataFrame:
+    """Distinct ``codes(fp)`` -> ``(a, b)``: a spanning forest of the links in each bucket, so components are exact.
+
+    The top nodes are the codes that share one masked pattern: by pigeonhole, codes within ``radius`` agree on
+    ``blocks - radius`` of the blocks. Below, the index by Gray rank decides. Fewer blocks are fewer copies of each
+    code and larger buckets; by default there are the fewest whose buckets are a cell or less on average. Every choice
+    gives the same components.
+    """
+    if blocks is None:
+        n = codes.count()
+        blocks = next((b for b in range(radius + 1, radius + 4) if n <= PART << (BITS * (b - radius) // b)), radius + 4)
+    keyed = codes.select(F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(signed(m))) for m in masks(radius, blocks)])).alias("t", "k"), F.col("fp").alias("id"), F.col("fp").alias("code"))
+    return search(keyed, ["code"], [], lambda index, _: index.forest(radius))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, blocks: int | None = None) -> DataFrame:
     """``(doc_id, fingerprint, component_id)``, a row per row of ``docs``.
 
     Documents link when their fingerprints differ in ``radius`` bits or fewer; component_id is the smallest id
     reachable. A null text counts as empty; texts without words have fingerprint zero and link like any other. A null
-    id takes part in links but is never a component_id, unless no member has an id. Repeated ids keep their rows.
-    Each distinct fingerprint is searched once, however many documents have it.
+    id takes part in links but is never a component_id, unless no member has an id. Repeated ids keep their rows; an
+    empty table gives none; other columns don't matter. Each distinct fingerprint is searched once, however many
+    documents have it.
     """
-    prints = cut(fingerprints(docs, id_col, text_col).drop("doc").withColumn("doc", F.lit(0)))
-    joined = _classes(prints, radius)
-    least = joined.groupBy("root").agg(F.min("first").alias("least"))
-    found = joined.join(least, "root").select("fp", F.col("least.doc_id").alias("component_id"), "copies")
+    prints = cut(fingerprints(docs, id_col, text_col))
+    classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")))
+    roots = components(links(classes.select("fp"), radius, blocks))
+    joined = cut(classes.join(roots, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp")).drop("node"))
+    least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
+    found = joined.join(least, "root").select("fp", "component_id", "copies")
     return lookup(prints, found, "fp", "copies", "doc_id").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
-
-
-def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4) -> DataFrame:
-    """The one row of ``docs`` of each component that has the smallest id; of those that share it, one text.
-
-    A component without any id keeps one row as well, and rows that repeat id and text count as one.
-    """
-    joined = _classes(cut(fingerprints(docs, id_col, text_col)), radius)
-    kept = joined.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("_id"), F.col("first.doc").alias("_kept"))
-    marked = docs.withColumn("_doc", F.xxhash64(F.col(text_col).cast("string")))
-    found = marked.join(kept, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_doc") == F.col("_kept")), "left_semi")
-    return found.dropDuplicates([id_col, "_doc"]).drop("_doc")
