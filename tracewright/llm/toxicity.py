@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import heapq
 import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -16,191 +15,266 @@ from pyspark.sql import functions as F
 
 from .common import fold
 
-#: Labelled examples taken at most of each class, in order of a hash of the id.
-FIT_TOXIC, FIT_CLEAN = 4000, 8000
-#: Terms of the index: those that the classes of the examples use most differently.
-TERMS, MIN_TOXIC_ROWS, MIN_CHI2 = 2000, 3, 30.0
-#: ... and that the toxic examples have at a rate this many times that of the others.
-MIN_RATIO = 10
-#: A longer word also counts as its first STEM letters, so that inflected forms meet.
-STEM = 4
-NEIGHBOURS, BLOCK = 25, 64
+#: Labelled examples taken at most of each class, in order of a hash of the id. All their words are terms.
+FIT_TOXIC, FIT_CLEAN = 2000, 4000
+#: Neighbours that vote, examples of a block, blocks that are read before any is skipped.
+NEIGHBOURS, BLOCK, AHEAD = 25, 32, 8
+#: A term is frequent if more than 1/DENSE of the examples have it; texts that are scored at once.
+DENSE, BATCH = 32, 64
 #: A neighbour's vote is its cosine to this power; as much prior weight as PRIOR exact neighbours have.
-POWER, PRIOR = 2.0, 0.5
+POWER, PRIOR = 2.0, 0.05
 EVIDENCE = 5
 
 _WORD = re.compile(r"\w+")
 
 
-def terms(text: str | None) -> list[str]:
-    """Words and stems (``word*``), repeats included."""
-    words = _WORD.findall(text.lower()) if text else []
-    return words + [f"{w[:STEM]}*" for w in words if len(w) > STEM]
-
-
-def known_terms(text: str | None, known: dict) -> Counter:
-    words = _WORD.findall(text.lower()) if text else []
-    stems = [s for w in words if len(w) > STEM and (s := f"{w[:STEM]}*") in known]
-    return Counter([w for w in words if w in known] + stems)
+def words(text: str | None) -> Counter:
+    return Counter(_WORD.findall(text.lower())) if text else Counter()
 
 
 @dataclass
 class BlockMaxIndex:
-    """Unit TF-IDF vectors of the examples as postings in example order, in blocks that know their largest weight."""
+    """Unit TF-IDF vectors of the examples, as postings by term with the largest weight of each block of examples.
+
+    A term's weight is (1 + log tf) * idf * rf, with the inverse document frequency over all documents and the
+    relevance frequency log2(2 + a / max(1, c)) of a toxic and c other examples that have it (tf.idf.rf), so that
+    texts are near by what tells the classes apart. The postings of terms that more than 1/DENSE of the examples have
+    are rows of a matrix, which a batch of queries is multiplied with. ``slope`` and ``shift`` turn the log odds of the
+    votes into a calibrated probability.
+    """
 
-    idf: dict[str, float]
-    labels: list[int]
-    weights: list[float]
-    ids: list[int]
-    #: P(toxic) of a text that has none of the terms
+    place: dict[str, int]
+    weight: np.ndarray
+    labels: np.ndarray
+    shares: np.ndarray
+    ids: np.ndarray
+    #: P(toxic) of the labelled documents
     base: float
-    postings: dict[str, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
-    last: dict[str, np.ndarray] = field(default_factory=dict)
-    top: dict[str, np.ndarray] = field(default_factory=dict)
-
-    def vector(self, counts: Counter) -> dict[str, float]:
-        got = {t: (1 + math.log(n)) * self.idf[t] for t, n in counts.items() if t in self.idf}
-        norm = math.sqrt(sum(w * w for w in got.values()))
-        return {t: w / norm for t, w in got.items()} if norm else {}
-
-    def fill(self, vectors: list[dict[str, float]]) -> None:
-        lists: dict[str, list[tuple[int, float]]] = {}
-        for i, v in enumerate(vectors):
-            for t, w in v.items():
-                lists.setdefault(t, []).append((i, w))
-        for t, entries in lists.items():
-            docs, weights = np.array([e[0] for e in entries]), np.array([e[1] for e in entries])
-            starts = np.arange(0, len(docs), BLOCK)
-            self.postings[t] = (docs, weights)
-            self.last[t] = docs[np.minimum(starts + BLOCK, len(docs)) - 1]
-            self.top[t] = np.maximum.reduceat(weights, starts)
-
-    def search(self, query: dict[str, float], k: int) -> list[tuple[float, int]]:
-        """The k examples of highest cosine above 0, ties to the lower number; exact.
-
-        Examples are walked in ranges over which every term stays in one block. A range whose block maxima can't
-        reach the k-th best so far is skipped unread.
+    slope: float = 1.0
+    shift: float = 0.0
+    #: blocks of postings that were read, and that were skipped by their bound
+    read: int = 0
+    skipped: int = 0
+
+    def vector(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
+        """Known terms of a text, in order, and its unit vector over them."""
+        known = sorted((self.place[w], n) for w, n in counts.items() if w in self.place)
+        if not known:
+            return np.zeros(0, dtype=np.int64), np.zeros(0)
+        terms, n = np.array(known, dtype=np.int64).T
+        values = (1 + np.log(n)) * self.weight[terms]
+        return terms, values / np.linalg.norm(values)
+
+    def fill(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        self.size, self.blocks = len(vectors), -(-len(vectors) // BLOCK)
+        terms, values = (np.concatenate([np.zeros(0, dtype=k), *(v[i] for v in vectors)]) for i, k in ((0, np.int64), (1, float)))
+        examples = np.repeat(np.arange(self.size), [len(t) for t, _ in vectors])
+        having = np.bincount(terms, minlength=len(self.place))
+        often = np.flatnonzero(having > self.size / DENSE)
+        #: the row of each frequent term, or -1
+        self.dense = np.full(len(self.place), -1, dtype=np.int64)
+        self.dense[often] = np.arange(len(often))
+        self.matrix = np.zeros((len(often), self.size))
+        is_often = self.dense[terms] >= 0
+        self.matrix[self.dense[terms[is_often]], examples[is_often]] = values[is_often]
+        order = np.lexsort((examples[~is_often], terms[~is_often]))
+        terms, self.example, self.value = terms[~is_often][order], examples[~is_often][order], values[~is_often][order]
+        key, first = np.unique(terms * max(1, self.blocks) + self.example // BLOCK, return_index=True)
+        #: of term t the entries at[t] to at[t + 1]: block, largest weight in it, postings begin[e] to begin[e + 1]
+        self.block, self.begin = key % max(1, self.blocks), np.append(first, len(terms))
+        self.top = np.maximum.reduceat(self.value, first) if len(first) else np.zeros(0)
+        self.at = np.searchsorted(key // max(1, self.blocks), np.arange(len(self.place) + 1))
+
+    def frequent(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """What the frequent terms add to the cosines of each query with all examples."""
+        q = np.zeros((len(queries), len(self.matrix)))
+        for i, (terms, values) in enumerate(queries):
+            row = self.dense[terms]
+            q[i, row[row >= 0]] = values[row >= 0]
+        return q @ self.matrix
+
+    def search(self, terms: np.ndarray, values: np.ndarray, k: int, sums: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The k examples of highest cosine above 0 and their cosines, ties to the lower number; exact.
+
+        ``sums`` are the query's row of ``frequent``. With the maxima of the other terms they bound the cosines of each
+        block. The blocks of the highest bounds are read first; postings in blocks whose bound does not reach the k-th
+        best cosine of those are never read.
         """
-        used = sorted((t for t in query if t in self.postings), key=lambda t: -query[t])
-        if not used:
-            return []
-        edges = np.unique(np.concatenate([self.last[t] for t in used]))
-        bounds = np.zeros(len(edges))
-        for t in used:
-            block = np.searchsorted(self.last[t], edges)
-            ok = block < len(self.last[t])
-            bounds[ok] += query[t] * self.top[t][block[ok]]
-        best: list[tuple[float, int]] = []
-        lows = np.concatenate([[0], edges[:-1] + 1])
-        for r in np.argsort(-bounds, kind="stable").tolist():
-            if len(best) == k and bounds[r] < best[0][0] - 1e-12:
-                break
-            low, high = int(lows[r]), int(edges[r])
-            sums = np.zeros(high - low + 1)
-            for t in used:
-                docs, weights = self.postings[t]
-                a, b = np.searchsorted(docs, (low, high + 1))
-                sums[docs[a:b] - low] += query[t] * weights[a:b]
-            for i in np.flatnonzero(sums > 0).tolist():
-                entry = (round(float(sums[i]), 12), -(low + i))
-                if len(best) < k:
-                    heapq.heappush(best, entry)
-                elif entry > best[0]:
-                    heapq.heapreplace(best, entry)
-        return [(s, -i) for s, i in sorted(best, reverse=True)]
-
-    def score(self, counts: Counter) -> tuple[float, list[tuple[int, float, int]]]:
-        """P(toxic) and the closest examples as (id, cosine, label)."""
-        found = self.search(self.vector(counts), NEIGHBOURS)
-        if not found:
-            return self.base, []
-        votes = [(s**POWER * self.weights[i], self.labels[i]) for s, i in found]
-        total = sum(v for v, _ in votes)
-        return (sum(v for v, y in votes if y) + PRIOR * self.base) / (total + PRIOR), [(self.ids[i], s, self.labels[i]) for s, i in found[:EVIDENCE]]
-
-
-def _count_terms(wanted: DataFrame, text_col: str, vocabulary: dict[str, int] | None = None) -> DataFrame:
-    """How many rows have a term, summed within tasks first; ``wanted`` may have a column y to sum by."""
-    shared = wanted.sparkSession.sparkContext.broadcast(vocabulary)
+        if not len(terms) or not self.size:
+            return np.zeros(0, dtype=np.int64), np.zeros(0)
+        sums = self.frequent([(terms, values)])[0] if sums is None else sums.copy()
+        sizes = self.at[terms + 1] - self.at[terms]
+        ends = np.cumsum(sizes)
+        entries = np.arange(ends[-1]) + np.repeat(self.at[terms] - ends + sizes, sizes)
+        weights = np.repeat(values, sizes)
+        blocks = self.block[entries]
+        bounds = np.bincount(blocks, weights=self.top[entries] * weights, minlength=self.blocks)
+        bounds = bounds + np.maximum.reduceat(sums, np.arange(0, self.size, BLOCK))
+        first = np.zeros(self.blocks, dtype=bool)
+        first[np.argsort(-bounds, kind="stable")[:AHEAD]] = True
+        self.add(sums, entries[first[blocks]], weights[first[blocks]])
+        seen = np.repeat(first, BLOCK)[: self.size]
+        least = np.partition(sums[seen], -k)[-k] if seen.sum() >= k else 0.0
+        rest = ~first & (bounds >= max(least, 1e-9) - 1e-9)
+        self.add(sums, entries[rest[blocks]], weights[rest[blocks]])
+        self.read += int(first.sum() + rest.sum())
+        self.skipped += int(self.blocks - first.sum() - rest.sum())
+        found = np.flatnonzero(np.repeat(first | rest, BLOCK)[: self.size] & (sums >= max(least - 1e-9, 1e-12)))
+        cosines = np.round(sums[found], 12)
+        best = np.lexsort((found, -cosines))[:k]
+        return found[best], cosines[best]
+
+    def add(self, sums: np.ndarray, entries: np.ndarray, weights: np.ndarray) -> None:
+        """Add the postings of ``entries`` times their weights to ``sums``."""
+        if not len(entries):
+            return
+        sizes = self.begin[entries + 1] - self.begin[entries]
+        ends = np.cumsum(sizes)
+        postings = np.arange(ends[-1]) + np.repeat(self.begin[entries] - ends + sizes, sizes)
+        sums += np.bincount(self.example[postings], weights=self.value[postings] * np.repeat(weights, sizes), minlength=self.size)
+
+    def odds(self, found: np.ndarray, cosines: np.ndarray) -> float:
+        """Log odds of the votes of neighbours, each by its distance and by how many labelled documents it stands for."""
+        votes = cosines**POWER * self.shares[found]
+        toxic = float(votes[self.labels[found] == 1].sum()) + PRIOR * self.base
+        clean = float(votes[self.labels[found] == 0].sum()) + PRIOR * (1 - self.base)
+        return math.log(max(toxic, 1e-12) / max(clean, 1e-12))
+
+    def score(self, texts: list[str | None]) -> list[tuple[float, list[tuple[int, float, int]]]]:
+        """P(toxic) of each text and its closest examples as (id, cosine, label); without a neighbour the share of toxic documents."""
+        out = []
+        for k in range(0, len(texts), BATCH):
+            queries = [self.vector(words(t)) for t in texts[k : k + BATCH]]
+            for (terms, values), sums in zip(queries, self.frequent(queries)):
+                found, cosines = self.search(terms, values, NEIGHBOURS, sums)
+                if not len(found):
+                    out.append((self.base, []))
+                    continue
+                z = max(-30.0, min(30.0, self.slope * self.odds(found, cosines) + self.shift))
+                out.append((1 / (1 + math.exp(-z)), [(int(self.ids[i]), float(c), int(self.labels[i])) for i, c in zip(found[:EVIDENCE], cosines)]))
+        return out
+
+
+def calibrate(odds: np.ndarray, labels: np.ndarray, shares: np.ndarray) -> tuple[float, float]:
+    """Slope and shift of the logistic curve from log odds to labels, by Newton steps on a lightly held likelihood."""
+    if not len(odds) or len(np.unique(labels)) < 2:
+        return 1.0, 0.0
+    beta, x = np.array([1.0, 0.0]), np.stack([odds, np.ones(len(odds))], axis=1)
+    # as the curve is held to 1 and 0 by the weight of one document, cleanly parted classes have no infinite slope
+    hold = np.array([1.0, 0.1])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
+        slope = x.T @ (shares * (labels - p)) - hold * (beta - np.array([1.0, 0.0]))
+        bend = (x * (shares * p * (1 - p))[:, None]).T @ x + np.diag(hold)
+        step = np.linalg.solve(bend, slope)
+        beta = beta + step
+        if np.abs(step).max() < 1e-9:
+            break
+    return float(beta[0]), float(beta[1])
+
+
+def _frequencies(corpus: DataFrame, place: dict[str, int]) -> dict[int, int]:
+    """How many rows of ``corpus(text)`` have each term, summed within tasks first; -1 counts the rows."""
+    shared = corpus.sparkSession.sparkContext.broadcast(place)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
+        known, sums, rows = shared.value, np.zeros(len(shared.value), dtype=np.int64), 0
         for batch in batches:
-            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = set(terms(text)) if shared.value is None else known_terms(text, shared.value).keys()
-                held.update((w, y) for w in words)
-            if len(held) > 300_000:
-                yield flush(held)
-                held = Counter()
-        yield flush(held)
+            rows += batch.num_rows
+            for text in batch.column(0).to_pylist():
+                if text:
+                    sums[[known[w] for w in known.keys() & set(_WORD.findall(text.lower()))]] += 1
+        used = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array([-1, *used.tolist()], pa.int64()), pa.array([rows, *sums[used].tolist()], pa.int64())], names=["term", "n"])
 
-    def flush(held: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in held], pa.string()), pa.array([k[1] for k in held], pa.int32()), pa.array(list(held.values()), pa.int64())], names=["term", "y", "n"]
-        )
-
-    return wanted.select(F.col(text_col).cast("string").alias("t"), F.col("y").cast("int").alias("y")).mapInArrow(run, "term string, y int, n long").groupBy("term", "y").agg(F.sum("n").alias("n"))
+    counted = corpus.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    return {r["term"]: r["n"] for r in counted.collect()}  # a row for each term of the examples
 
 
 def fit(docs: DataFrame, labels: DataFrame, everything: DataFrame | None = None, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic") -> BlockMaxIndex:
     """An index of the labelled ``docs``; document frequencies are counted over ``everything``.
 
     Of each class FIT_* examples at most are kept; their share stands for all of it. An id with several labels is
-    toxic if one of them is. Null labels and ids don't teach. Without examples every score is 0.
+    toxic if one of them is; of the rows that share an id, the text that is first by its hash is the example. Null
+    labels and ids don't teach. Without examples every score is 0. Each example is scored by the others, and the
+    curve from these votes to the labels is the calibration.
     """
     spark = docs.sparkSession
+    none = np.zeros(0)
     marked = labels.select(F.col(id_col).alias("k"), F.col(label_col).cast("int").alias("y")).filter("k is not null and y is not null").groupBy("k").agg(F.max(F.expr("int(y > 0)")).alias("y"))
     known = docs.select(F.col(id_col).alias("k")).filter("k is not null").distinct().join(marked, "k")
     sizes = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if not sizes:
-        return BlockMaxIndex({}, [], [], [], 0.0)
+        index = BlockMaxIndex({}, none, none, none, none, 0.0)
+        index.fill([])
+        return index
     rank = F.xxhash64("k")
-    drawn = known.filter("y = 1").orderBy(rank, "k").limit(FIT_TOXIC).union(known.filter("y = 0").orderBy(rank, "k").limit(FIT_CLEAN))
-    drawn_rows = drawn.collect()  # FIT_TOXIC + FIT_CLEAN ids at most
-    chosen = spark.createDataFrame([(r["k"], r["y"]) for r in drawn_rows], "k long, y int")
-    examples = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "k").dropDuplicates(["k"])
-    taken = Counter(r["y"] for r in drawn_rows)
-    by_term = _count_terms(examples, "text").groupBy("term").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("b"))
-    p, q = float(max(1, taken[1])), float(max(1, taken[0]))
-    a, b = F.col("a"), F.col("b")
-    n = p + q
-    chi2 = n * (a * (q - b) - b * (p - a)) ** 2 / (p * q * (a + b) * (n - a - b) + 1e-9)
-    picked = by_term.filter((a >= MIN_TOXIC_ROWS) & (a / p > MIN_RATIO * b / q)).withColumn("chi2", chi2).filter(F.col("chi2") >= MIN_CHI2)
-    vocabulary = {r["term"]: 0 for r in picked.orderBy(F.desc("chi2"), "term").limit(TERMS).collect()}
-    corpus = (docs if everything is None else everything).select(F.col(text_col).alias("text"), F.lit(0).alias("y"))
-    rows = corpus.count()
-    idf = {t: math.log((1 + rows) / (1 + 0)) + 1 for t in vocabulary}
-    idf |= {r["term"]: math.log((1 + rows) / (1 + r["n"])) + 1 for r in _count_terms(corpus, "text", vocabulary).collect()}  # TERMS rows at most
-    shared = spark.sparkContext.broadcast(vocabulary)
+    drawn = known.filter("y = 1").orderBy(rank, "k").limit(FIT_TOXIC).union(known.filter("y = 0").orderBy(rank, "k").limit(FIT_CLEAN)).collect()  # FIT_* ids
+    chosen = spark.createDataFrame([(r["k"], r["y"]) for r in drawn], "k long, y int")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    one = F.min(F.struct(F.xxhash64("text").alias("h"), "text"))
+    examples = docs.select(F.col(id_col).alias("k"), text.alias("text")).join(F.broadcast(chosen), "k").groupBy("k", "y").agg(one.alias("one"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts = [known_terms(t, shared.value) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array([list(c) for c in counts], pa.list_(pa.string())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int64()))],
-                names=["k", "y", "terms", "ns"],
-            )
-
-    got = sorted(examples.select(F.col("k").cast("long").alias("k"), "text", "y").mapInArrow(run, "k long, y int, terms array<string>, ns array<long>").collect())
-    weight = {y: sizes.get(y, 0) / max(1, taken[y]) for y in (0, 1)}
-    bare = [sum(weight[y] for r in got if not r["terms"] and r["y"] == y) for y in (0, 1)]
-    index = BlockMaxIndex(idf, [r["y"] for r in got], [weight[r["y"]] for r in got], [r["k"] for r in got], (bare[1] + 0.5 * sizes.get(1, 0) / sum(sizes.values())) / (sum(bare) + 0.5))
-    index.fill([index.vector(Counter(dict(zip(r["terms"], r["ns"])))) for r in got])
+            counts = [words(t) for t in batch.column(2).to_pylist()]
+            each = [pa.array([list(c) for c in counts], pa.list_(pa.string())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *each], names=["k", "y", "words", "ns"])
+
+    got = examples.select(F.col("k").cast("long").alias("k"), "y", "one.text").mapInArrow(count, "k long, y int, words array<string>, ns array<long>").collect()
+    # toxic ones next to each other, and texts of like words: the blocks' maxima are tighter
+    got.sort(key=lambda r: (r["y"], min(zip((-n for n in r["ns"]), r["words"]), default=(0, "")), r["k"]))
+    counts = [Counter(dict(zip(r["words"], r["ns"]))) for r in got]
+    place = {w: i for i, w in enumerate(sorted(set().union(*counts)))}
+    y = np.array([r["y"] for r in got])
+    having = np.zeros((2, len(place)))
+    for c, label in zip(counts, y.tolist()):
+        having[label, [place[w] for w in c]] += 1
+    corpus = (docs if everything is None else everything).select(F.col(text_col).cast("string").alias("text"))
+    seen = _frequencies(corpus, place)
+    frequency = np.array([seen.get(i, 0) for i in range(len(place))])
+    weight = (np.log((1 + seen.get(-1, 0)) / (1 + frequency)) + 1) * np.log2(2 + having[1] / np.maximum(1, having[0]))
+    taken = Counter(y.tolist())
+    stands = np.array([sizes[int(v)] / taken[int(v)] for v in y])
+    index = BlockMaxIndex(place, weight, y, stands, np.array([r["k"] for r in got]), sizes.get(1, 0) / sum(sizes.values()))
+    vectors = [index.vector(c) for c in counts]
+    index.fill(vectors)
+    index.slope, index.shift = _calibration(spark, index, vectors)
     return index
 
 
+def _calibration(spark, index: BlockMaxIndex, vectors: list[tuple[np.ndarray, np.ndarray]]) -> tuple[float, float]:
+    """The curve from the votes of all other examples to each example's label."""
+    shared = spark.sparkContext.broadcast((index, vectors))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, each = shared.value
+        for batch in batches:
+            out = []
+            for e in batch.column(0).to_pylist():
+                found, cosines = model.search(*each[e], NEIGHBOURS + 1)
+                other = found != e
+                found, cosines = found[other][:NEIGHBOURS], cosines[other][:NEIGHBOURS]
+                if len(found):
+                    out.append((e, model.odds(found, cosines)))
+            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.float64())], names=["e", "odds"])
+
+    got = sorted(spark.range(len(vectors)).repartition(16).mapInArrow(run, "e long, odds double").collect())  # FIT_* rows
+    e = np.array([r["e"] for r in got], dtype=np.int64)
+    return calibrate(np.array([r["odds"] for r in got]), index.labels[e], index.shares[e] / index.shares.mean())
+
+
 def score(docs: DataFrame, index: BlockMaxIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, score, evidence)`` of every row of ``docs``, from the whole text; null texts count as empty.
 
-    evidence: the closest examples with cosine and label. The index is broadcast; FIT_* and TERMS bound its size.
+    evidence: the closest examples with cosine and label. The index is broadcast; FIT_* examples bound its size.
     """
     shared = docs.sparkSession.sparkContext.broadcast(index)
     kind = pa.list_(pa.struct([("example_id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
         for batch in batches:
-            got = [model.score(known_terms(t, model.idf)) for t in batch.column(1).to_pylist()]
+            got = shared.value.score(batch.column(1).to_pylist())
             evidence = [[{"example_id": i, "cosine": c, "label": y} for i, c, y in g[1]] for g in got]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([g[0] for g in got], pa.float64()), pa.array(evidence, kind)], names=["doc_id", "score", "evidence"])
 
@@ -215,19 +289,19 @@ def predict(docs: DataFrame, labels: DataFrame, folds: int = 5) -> DataFrame:
     return score(docs, index).select("doc_id", (own == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
 
 
-def reject(docs: DataFrame, labels: DataFrame, folds: int = 5) -> DataFrame:
+def reject(docs: DataFrame, labels: DataFrame, folds: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that score 0.5 or more; all columns and every other row stay.
 
-    The score goes by the text, so rows of one id stand or fall each by its own text.
+    The score goes by the text, so rows of one id, and of none, stand or fall each by its own text; null and empty
+    texts score as the labelled documents do on the whole, and stay unless half of those are toxic.
     """
-    own = fold(F.col("doc_id"), folds)
-    index = fit(docs.filter(own != 0), labels.filter(own != 0), docs)
+    own = fold(F.col(id_col), folds)
+    index = fit(docs.filter(own != 0), labels.filter(fold(F.col("doc_id"), folds) != 0).withColumnRenamed("doc_id", id_col), docs, text_col, id_col)
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            yield batch.filter(pa.array([model.score(known_terms(t, model.idf))[0] < 0.5 for t in texts], pa.bool_()))
+            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
+            yield batch.filter(pa.array([p < 0.5 for p, _ in shared.value.score(texts)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
