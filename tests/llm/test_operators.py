@@ -5,15 +5,18 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
+import regex
 import xxhash
 from pyspark.sql import functions as F
 
-from tracewright.llm import common, decontaminate, langid, lattice, lines, orderhash, packing, queries, secrets, simhash, toxicity, warc
+from tracewright.llm import common, decontaminate, langid, lattice, lines, meeting, orderhash, packing, queries, secrets, simhash, toxicity, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORD_BPE, PIECES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -163,11 +166,38 @@ def test_right_vectors_are_those_of_a_full_decomposition(spark):
 # 4
 
 
-def brute_lines(spark, df):
-    """Text by id after deduplication, with every pair of distinct lines looked at."""
-    occ = lines._occurrences(df.select(F.col("doc_id").alias("id"), "text")).select("id", "doc", "place", "line", lines._coded("words").alias("codes")).collect()
-    table = {r["line"]: r["codes"] for r in occ}
-    sims = {r["line"]: r["sim"] & (2**64 - 1) for r in lines._simhash(spark.createDataFrame(list(table.items()), "line long, codes string")).collect()}
+def line_words(line):
+    return regex.sub(r"[^\p{L}\p{N}]+", " ", line.lower()).split()
+
+
+def distance(a, b, most):
+    """Edit distance over words, or more than ``most``."""
+    if abs(len(a) - len(b)) > most:
+        return most + 1
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        if min(row) > most:
+            return most + 1
+    return row[-1]
+
+
+def alike(x, y):
+    most = int(max(len(x), len(y)) * 0.2 + 1e-9)
+    # what two lines have in common bounds their distance, so that few are compared word by word
+    return max(len(x), len(y)) - sum((collections.Counter(x) & collections.Counter(y)).values()) <= most and distance(x, y, most) <= most
+
+
+def brute_lines(df):
+    """Text by id after deduplication, every pair of distinct lines looked at; rows have an id of their own."""
+    rows = sorted(((r["doc_id"], r["text"]) for r in df.collect()))
+    table = {}
+    for _, t in rows:
+        for line in (t or "").split("\n"):
+            if line_words(line):
+                table.setdefault(" ".join(line_words(line)), line_words(line))
     root = {k: k for k in table}
 
     def find(x):
@@ -175,34 +205,29 @@ def brute_lines(spark, df):
             x = root[x]
         return x
 
-    def distance(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            last, row[0] = row[0], i
-            for j, y in enumerate(b, 1):
-                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-        return row[-1]
-
-    keys = list(table)
-    codes = np.array([sims[k] for k in keys], dtype=np.uint64)
+    keys = sorted(table, key=lambda k: len(table[k]))
     for i, a in enumerate(keys):
-        for j in np.flatnonzero(np.bitwise_count(codes[:i] ^ codes[i]) <= 3):
-            x, y = table[a], table[keys[j]]
-            if min(len(x), len(y)) >= 5 and distance(x, y) <= int(max(len(x), len(y)) * 0.2 + 1e-9):
-                p, q = find(a), find(keys[j])
-                root[max(p, q)] = min(p, q)
-    seen, gone = set(), collections.defaultdict(set)
-    for r in sorted(occ, key=lambda r: (r["id"], r["doc"], r["place"])):
-        if find(r["line"]) in seen:
-            gone[r["id"]].add(r["place"])
-        seen.add(find(r["line"]))
-    texts = {r["doc_id"]: r["text"] for r in df.collect()}
-    return {i: None if t is None else "\n".join(x for j, x in enumerate(t.split("\n")) if j not in gone[i]) for i, t in texts.items()}
-
-
-@pytest.mark.parametrize("few", [16, 1])
+        for b in keys[i + 1 :]:
+            if len(table[a]) < 0.8 * len(table[b]):
+                break
+            if find(a) != find(b) and alike(table[a], table[b]):
+                root[find(a)] = find(b)
+    seen, texts = set(), {}
+    for i, t in rows:
+        left = []
+        for line in (t or "").split("\n"):
+            group = find(" ".join(line_words(line))) if line_words(line) else None
+            if group not in seen:
+                left.append(line)
+            if group:
+                seen.add(group)
+        texts[i] = "\n".join(left) if t is not None else None
+    return texts
+
+
+@pytest.mark.parametrize("few", [16, 2])
 def test_lines_equal_brute_force(spark, monkeypatch, few):
-    monkeypatch.setattr(lines, "FEW", few)
+    monkeypatch.setattr(meeting, "FEW", few)
     rng = random.Random(6)
     base = [prose(i, 12, 300) for i in range(25)]
     texts = []
@@ -214,19 +239,76 @@ def test_lines_equal_brute_force(spark, monkeypatch, few):
                 w[rng.randrange(len(w))] = "other"
             out.append((" " * rng.randrange(1, 3)).join(w).title() if rng.random() < 0.3 else " ".join(w))
         texts.append("\n".join(out))
-    df = docs(spark, [*texts, *ODD, "| a | b |", "| c | d |"])
-    want = brute_lines(spark, df)
+    df = docs(spark, [*texts, *[t for t in ODD if t != "same text here"], "same text here", "| a | b |", "| c | d |"])
+    want = brute_lines(df)
     assert {r["doc_id"]: r["text"] for r in lines.deduplicate(df).collect()} == want
     assert sum((want[i] or "").count("\n") + 1 for i in range(60)) < sum(t.count("\n") + 1 for t in texts) - 60
 
 
 def test_lines_with_clashing_columns_repeats_and_nothing(spark):
-    df = spark.createDataFrame([(1, "a b c d e\nq", 5, "x"), (1, "a b c d e\nq", 5, "x"), (None, "a b c d e", 6, "y")], "doc_id long, text string, line long, kept string")
-    got = [tuple(r) for r in lines.deduplicate(df).select("doc_id", "text", "line", "kept").collect()]
-    assert sorted(got, key=str) == [(1, "q", 5, "x"), (1, "q", 5, "x"), (None, "a b c d e", 6, "y")]
+    names = "doc_id long, text string, line long, kept string, _doc int, doc int, places int, _places int, own int, again int, n_removed int, m map<string,int>"
+    more = (1, 2, 3, 4, 5, 6, 7, {"a": 1})
+    df = spark.createDataFrame([(1, "a b c d e\nq\n\n", 5, "x", *more), (1, "a b c d e\nq\n\n", 5, "x", *more), (None, "a b c d e", 6, "y", *more), (None, None, 6, "y", *more)], names)
+    got = [tuple(r) for r in lines.deduplicate(df).collect()]
+    want = [(1, "q\n\n", 5, "x", *more), (1, "\n", 5, "x", *more), (None, "a b c d e", 6, "y", *more), (None, None, 6, "y", *more)]
+    assert sorted(got, key=str) == sorted(want, key=str)
     assert lines.deduplicate(empty(spark)).count() == 0
 
 
+def test_a_very_common_word_pair_makes_few_pairs(spark, monkeypatch):
+    """Lines that share a pair and no more fall into small buckets, and those among them that are alike still meet."""
+    made = []
+    monkeypatch.setattr(lines, "_similar", lambda a, b, real=lines._similar: real(a, b))
+    monkeypatch.setattr(meeting, "stored", lambda df, real=meeting.stored: made.append(real(df)) or made[-1])
+    rng, texts = random.Random(12), []
+    for i in range(600):
+        w = [f"{rng.choice('bcdf')}{rng.randrange(10**6)}" for _ in range(20)]
+        w[10:12] = ["extraordinarily", "commonplace"]
+        texts.append(" ".join(w))
+    texts += [t.replace("commonplace", "commonplace indeed") for t in texts[:20]]
+    got = {r["doc_id"]: r["text"] for r in lines.deduplicate(docs(spark, texts)).collect()}
+    assert [i for i, t in got.items() if not t] == list(range(600, 620))
+    assert made[-1].columns == ["a", "b"]
+
+
+def test_very_many_removed_lines_take_little_time(spark):
+    text = "\n".join(f"line number {i} of this text" for i in range(30000))
+    began = time.time()
+    got = lines.deduplicate(docs(spark, [text, text + "\nmore"]), counts=("n", "gone")).collect()
+    assert {r["doc_id"]: (r["n"], r["gone"]) for r in got}[1] == (30001, 30000) and time.time() - began < 120
+
+
+@pytest.mark.parametrize("share", [0.05, 0.1, 0.15, 0.2])
+def test_recall_of_changed_lines_by_length(spark, share):
+    """Real lines with a share of the words replaced, each with its original: at least nine of ten meet at every length."""
+    rng = random.Random(int(100 * share))
+    texts = pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"]).column(0).to_pylist()
+    pool = collections.defaultdict(list)
+    for t in texts:
+        for line in (t or "").split("\n"):
+            n = len(line_words(line))
+            if n >= 5:
+                pool[min(n // 10, 4)].append(line_words(line))
+    rows, of = [], {}
+    for length, found in pool.items():
+        for w in rng.sample(found, 250):
+            copy = list(w)
+            for at in rng.sample(range(len(w)), max(1, int(share * len(w)))):
+                copy[at] = rng.choice(rng.choice(found))
+            if copy != w and alike(w, copy):
+                of[len(rows) + 1] = length
+                rows += [" ".join(w), " ".join(copy)]
+    each = lines._occurrences(docs(spark, rows).select(F.col("doc_id").alias("id"), F.lit(0).alias("doc"), "text"))
+    distinct = each.groupBy("line").agg(F.first("keys").alias("keys"), F.first(F.length("codes")).alias("size"))
+    root = {r["node"]: r["root"] for r in common.components(lines.links(each, distinct)).collect()}
+    line = {r["id"]: root.get(r["line"], r["line"]) for r in each.select("id", "line").collect()}
+    for length in pool:
+        copies = [i for i, n in of.items() if n == length]
+        met = sum(line[i] == line[i - 1] for i in copies)
+        print(f"share {share} of the words, {10 * length} words and more: {met} of {len(copies)} meet")
+        assert met >= 0.9 * len(copies) and len(copies) > 100
+
+
 # 5
 
 
@@ -246,7 +328,7 @@ def test_fingerprints_by_hand():
 
 def components_of(codes, radius):
     label = np.arange(len(codes))
-    near = np.bitwise_count(codes[:, None] ^ codes[None, :]) <= radius
+    near = [np.flatnonzero(np.bitwise_count(codes ^ c) <= radius) for c in codes]
     while True:
         new = np.array([label[n].min() for n in near])
         if (new == label).all():
@@ -254,6 +336,31 @@ def components_of(codes, radius):
         label = new
 
 
+def rank_of(codes):
+    codes = codes.copy()
+    for s in (1, 2, 4, 8, 16, 32):
+        codes ^= codes >> np.uint64(s)
+    return codes
+
+
+def check_forest(codes, cell, want):
+    index = simhash.GrayIndex(codes[:, None], cell)
+    a, b = index.forest(4)
+    root = list(range(len(codes)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for x, y in zip(a.tolist(), b.tolist()):
+        assert (int(codes[x]) ^ int(codes[y])).bit_count() <= 4 and cell[x] == cell[y] and find(x) != find(y)
+        x, y = find(x), find(y)
+        root[max(x, y)] = min(x, y)
+    assert [find(i) for i in range(len(codes))] == want.tolist()
+    return index
+
+
 @pytest.mark.parametrize("size", [1, 2, 70, 700])
 def test_index_forest_spans_the_links(size):
     rng = np.random.default_rng(size)
@@ -262,25 +369,24 @@ def test_index_forest_spans_the_links(size):
     for _ in range(5):
         codes = codes ^ (np.uint64(1) << rng.integers(0, 64, size, dtype=np.uint64))
     codes = np.unique(codes)
-    want = components_of(codes, 4)
-    place = {int(c): i for i, c in enumerate(codes)}
-    half = len(codes) // 2
-    for edges in (simhash.forest(codes, None, 4), simhash.forest(codes[:half], None, 4) + simhash.forest(codes[half:], None, 4) + (simhash.forest(codes[:half], codes[half:], 4) if half else [])):
-        root = list(range(len(codes)))
+    codes = codes[np.argsort(rank_of(codes))]
+    check_forest(codes, np.zeros(len(codes), dtype=np.int64), components_of(codes, 4))
+    cell = np.sort(rng.integers(0, 5, len(codes)))  # no pair of two cells is linked
+    parts = [np.flatnonzero(cell == c) for c in range(5)]
+    check_forest(codes, cell, np.concatenate([p[components_of(codes[p], 4)] for p in parts if len(p)]))
 
-        def find(x):
-            while root[x] != x:
-                x = root[x]
-            return x
 
-        for a, b in edges:
-            assert (a ^ b).bit_count() <= 4
-            a, b = find(place[a]), find(place[b])
-            root[max(a, b)] = min(a, b)
-        assert [find(i) for i in range(len(codes))] == want.tolist()
+def test_index_decides_and_prunes_on_the_given_documents():
+    texts = pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"]).column(0).to_pylist()
+    codes = np.unique(np.array([simhash.fingerprint((t or "").encode()) for t in set(texts)], dtype=np.uint64))
+    codes = codes[np.argsort(rank_of(codes))]
+    index = check_forest(codes, np.zeros(len(codes), dtype=np.int64), components_of(codes, 4))
+    # without masks, as one cell: what the shared patterns alone save
+    assert 0 < index.compared < 0.75 * len(codes) ** 2 / 2 and index.pruned > 1000
 
 
-def test_near_duplicates_equal_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("blocks", [None, 5, 6, 7])
+def test_near_duplicates_equal_brute_force(spark, monkeypatch, blocks):
     monkeypatch.setattr(simhash, "PART", 40)  # so that buckets are dealt over parts
     texts = [*ODD]
     for i in range(12):
@@ -293,16 +399,15 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch):
     df = docs(spark, texts)
     codes = np.array([slow_print(t) for t in texts], dtype=np.uint64)
     want = components_of(codes, 4)
-    rows = simhash.near_duplicates(df).orderBy("doc_id").collect()
+    rows = simhash.near_duplicates(df, blocks=blocks).orderBy("doc_id").collect()
     assert [r["fingerprint"] for r in rows] == [f"{int(c):016x}" for c in codes] and [r["component_id"] for r in rows] == want.tolist()
-    kept = simhash.representatives(df).collect()
-    assert sorted(r["doc_id"] for r in kept) == sorted(set(want.tolist()))
 
 
-def test_representatives_of_repeated_and_missing_ids(spark):
+def test_near_duplicates_of_repeated_and_missing_ids(spark):
     df = spark.createDataFrame([(1, "a b", 0), (1, "a b", 0), (None, "a b", 1), (None, "q r", 2), (None, "q r", 2)], "doc_id long, text string, fp long")
-    assert sorted(map(str, simhash.representatives(df).collect())) == sorted(["Row(doc_id=1, text='a b', fp=0)", "Row(doc_id=None, text='q r', fp=2)"])
-    assert simhash.near_duplicates(empty(spark)).count() == 0 and simhash.representatives(empty(spark)).count() == 0
+    got = collections.Counter((r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(df).collect())
+    assert got == {(1, 1): 2, (None, 1): 1, (None, None): 2}
+    assert simhash.near_duplicates(empty(spark)).count() == 0
 
 
 # 6
@@ -375,18 +480,90 @@ def test_damaged_archives_are_refused():
 # 8
 
 
+def random_index(rng, n_terms=300, n=900):
+    names = [f"t{i}" for i in range(n_terms)]
+    bags = [collections.Counter(rng.choices(names, k=rng.randrange(0, 9), weights=[1 / (i + 1) for i in range(n_terms)])) for _ in range(n)]
+    index = toxicity.BlockMaxIndex({t: i for i, t in enumerate(names)}, np.array([1 + rng.random() for _ in names]), np.array([rng.randrange(2) for _ in bags]), np.ones(n), np.arange(n), 0.1)
+    index.fill([index.vector(b) for b in bags])
+    return index, bags, names
+
+
 def test_block_max_search_is_exact():
     rng = random.Random(8)
-    names = [f"t{i}" for i in range(30)]
-    index = toxicity.BlockMaxIndex({t: 1 + rng.random() for t in names}, [], [], [], 0.1)
-    bags = [collections.Counter(rng.choices(names, k=rng.randrange(0, 6))) for _ in range(900)]
-    index.fill([index.vector(b) for b in bags])
-    for _ in range(40):
-        q = index.vector(collections.Counter(rng.choices(names, k=4)))
-        exact = sorted(((round(sum(w * index.vector(b).get(t, 0) for t, w in q.items()), 12), -i) for i, b in enumerate(bags)), reverse=True)
-        want = [(s, -i) for s, i in exact if s > 0][:25]
-        got = index.search(q, 25)
-        assert np.allclose([s for s, _ in got], [s for s, _ in want]) and len({i for _, i in got}) == len(got)
+    index, bags, names = random_index(rng)
+    assert 0 < len(index.matrix) < len(names)
+    full = np.zeros((len(bags), len(names)))
+    for i, b in enumerate(bags):
+        t, v = index.vector(b)
+        full[i, t] = v
+    for _ in range(60):
+        t, v = index.vector(collections.Counter(rng.choices(names, k=rng.randrange(1, 6))))
+        q = np.zeros(len(names))
+        q[t] = v
+        exact = np.round(full @ q, 10)
+        want = [i for i in sorted(range(len(bags)), key=lambda i: (-exact[i], i)) if exact[i] > 0][:25]
+        found, cosines = index.search(t, v, 25)
+        assert np.allclose(cosines, exact[want]) and np.allclose(exact[found], exact[want]) and len(set(found.tolist())) == len(found)
+    assert index.skipped > 0 and index.read > 0
+
+
+def slow_toxicity(rows, labels, held):
+    """Weights, votes and calibrated scores by plain loops over all examples; every labelled row is an example."""
+    def bag(t):
+        return collections.Counter(re.findall(r"\w+", (t or "").lower()))
+
+    texts = dict(rows)
+    known = {}
+    for k, y in labels:
+        if k is not None and y is not None and k in texts and zlib.crc32(str(k).encode()) % 5:
+            known[k] = max(known.get(k, 0), int(y > 0))
+    having = {y: collections.Counter(w for k, v in known.items() if v == y for w in bag(texts[k])) for y in (0, 1)}
+    often = collections.Counter(w for _, t in rows for w in bag(t))
+    weight = {w: (math.log((1 + len(rows)) / (1 + often[w])) + 1) * math.log2(2 + having[1][w] / max(1, having[0][w])) for w in set(having[0]) | set(having[1])}
+
+    def vector(t):
+        v = {w: (1 + math.log(n)) * weight[w] for w, n in bag(t).items() if w in weight}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {w: x / norm for w, x in v.items()}
+
+    vectors = {k: vector(texts[k]) for k in known}
+    base = sum(known.values()) / len(known)
+
+    def odds(v, without=None):
+        near = sorted(((sum(x * vectors[k].get(w, 0) for w, x in v.items()), -k) for k in known if k != without), reverse=True)[:25]
+        votes = [base * 0.05, (1 - base) * 0.05]
+        for c, k in near:
+            votes[1 - known[-k]] += c * c if c > 1e-12 else 0
+        return math.log(votes[0] / votes[1]) if near and near[0][0] > 1e-12 else None
+
+    taught = [(odds(vectors[k], k), y) for k, y in known.items()]
+    taught = [(o, y) for o, y in taught if o is not None]
+    slope, shift = toxicity.calibrate(np.array([o for o, _ in taught]), np.array([y for _, y in taught]), np.ones(len(taught)))
+    out = {}
+    for k, t in rows:
+        o = odds(vector(t)) if vector(t) else None
+        out[k] = base if o is None else 1 / (1 + math.exp(-max(-30, min(30, slope * o + shift))))
+    return out
+
+
+def test_toxicity_equals_plain_loops(spark):
+    rng = random.Random(10)
+    rows = [(i, prose(i, rng.randrange(1, 30), 40) + (" vile " * rng.randrange(1, 3) if i % 5 == 0 else "")) for i in range(150)] + [(900 + i, t) for i, t in enumerate(ODD)]
+    labels = [(i, int(i % 5 == 0 or i % 17 == 0)) for i in range(0, 150)] + [(3, None), (None, 1), (4, 1), (4, 0)]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS)
+    got = {r["doc_id"]: r["score"] for r in toxicity.predict(df, spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    want = slow_toxicity(rows, labels, None)
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
+
+
+def test_held_out_toxicity_of_the_given_documents(spark):
+    """Accuracy, calibration and evidence on documents that taught nothing."""
+    df, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    got = toxicity.predict(df, labels).filter("held_out").join(labels, "doc_id").select("score", "predicted", "toxic", F.size("evidence").alias("n")).toPandas()
+    missed, false = ((got.predicted == 0) & (got.toxic == 1)).sum(), ((got.predicted == 1) & (got.toxic == 0)).sum()
+    error = sum(abs((part.score - part.toxic).sum()) for _, part in got.groupby((got.score * 10).astype(int))) / len(got)
+    print(f"{missed} of {(got.toxic == 1).sum()} toxic missed, {false} of {(got.toxic == 0).sum()} others marked, calibration error {error:.4f}, with evidence {(got.n > 0).mean():.4f}")
+    assert missed <= 0.12 * (got.toxic == 1).sum() and false <= 0.01 * (got.toxic == 0).sum() and error < 0.02 and (got.n > 0).mean() > 0.95
 
 
 def test_toxicity_is_learned(spark):
@@ -395,7 +572,7 @@ def test_toxicity_is_learned(spark):
     for i in range(300):
         w = prose(i, 60, 500).split()
         if i % 4 == 0:
-            w[10:10] = rng.sample(["vile", "scum", "foulness", "fouled"], 3)
+            w[10:10] = rng.sample(["vile", "scum", "foulness", "foul"], 3)
         rows.append((i, " ".join(w), "en", "s", 1))
         labels.append((i, 1, int(i % 4 == 0)))
     rows += [(1000 + k, t, "en", "s", 1) for k, t in enumerate(ODD)]

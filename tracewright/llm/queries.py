@@ -36,8 +36,7 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = lines.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"), radius=False)
-    return found.withColumnsRenamed({"_n_lines": "n_lines", "_n_removed": "n_removed"})
+    return lines.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"), counts=("n_lines", "n_removed"))
 
 
 @query
