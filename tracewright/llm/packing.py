@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import deque
+from bisect import bisect_left, insort
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,10 +15,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW, END = 4096, 2
-#: Context sizes; a document's remainder goes to the smallest tier that holds it.
+#: Context sizes; a document's remainder goes to the smallest tier that holds it, and each tier is packed at its size.
 TIERS = (256, 512, 1024, 2048, 4096)
-#: A task packs once it holds so many windows of remainders, and deals so many windows to a step group.
-POOL, GROUP = 32, 8
+#: A task packs once it holds so many windows of remainders, down to KEEP; a step group has so many windows of tokens.
+POOL, KEEP, GROUP = 64, 32, 8
 #: Distinct words whose ids a worker remembers.
 WORDS = 500_000
 
@@ -76,58 +77,61 @@ def encoder(path: str) -> WordIds:
 
 
 class Packer:
-    """Packs pieces into windows; a piece is (document, start, length), what is left of one goes back to its tier."""
+    """Packs pieces (length, document, start) into windows; a piece belongs to the smallest tier that holds it."""
 
     def __init__(self) -> None:
-        self.tiers: list[deque] = [deque() for _ in TIERS]
-
-    def add(self, doc: int, start: int, length: int) -> None:
-        self.tiers[next(i for i, t in enumerate(TIERS) if length <= t)].append((doc, start, length))
-
-    def take(self, most: int) -> tuple | None:
-        """A piece for a gap of ``most``: whole from the largest tier that has a fitting head, else a head cut to fit."""
-        for tier in reversed(self.tiers):
-            if tier and tier[0][2] <= most:
-                return tier.popleft()
-        for tier in self.tiers:  # no whole piece fits: the shortest tier's head is cut, its rest is routed anew
-            if tier:
-                doc, start, length = tier.popleft()
-                self.add(doc, start + most, length - most)
-                return doc, start, most
-        return None
-
-    def window(self, size: int) -> list[tuple]:
-        """Pieces that fill exactly ``size`` tokens, of which the pool holds as many at least."""
+        self.pieces: list[tuple[int, int, int]] = []  # by length
+        self.held = 0
+
+    def add(self, length: int, doc: int, start: int) -> None:
+        insort(self.pieces, (length, doc, start))
+        self.held += length
+
+    def tier(self) -> int:
+        """The tier of the longest piece, or what fills the pool's last windows: the largest power of two that it holds."""
+        longest = next(t for t in TIERS if self.pieces[-1][0] <= t)
+        return longest if longest <= self.held else 1 << (self.held.bit_length() - 1)
+
+    def take(self, most: int) -> tuple[int, int, int]:
+        """The longest piece of ``most`` at most; if all are longer, the shortest is cut and its rest belongs to its own tier."""
+        at = bisect_left(self.pieces, (most + 1,))
+        length, doc, start = self.pieces.pop(max(0, at - 1))
+        self.held -= length
+        if length > most:
+            self.add(length - most, doc, start + most)
+        return doc, start, min(length, most)
+
+    def window(self, size: int) -> list[tuple[int, int, int]]:
+        """Pieces that fill exactly ``size`` tokens, of which the pool holds as many at least: the longest of the tier, and
+        the gap that it leaves from it and the tiers below, longest first."""
         pieces, left = [], size
         while left:
-            doc, start, length = self.take(left)
-            pieces.append((doc, start, length))
-            left -= length
+            pieces.append(self.take(left))
+            left -= pieces[-1][2]
         return pieces
 
 
 def windows(lengths: Iterator[tuple[int, int]]) -> Iterator[tuple[int, list[tuple]]]:
-    """``(size, pieces)`` from ``(document, tokens)``: every window is full.
+    """``(size, pieces)`` from ``(document, tokens)``: every window is full, and has the size of its longest piece's tier.
 
-    A long document gives windows of its own first. What a task has left in the end fills one window of each power of
-    two in its number, so no token is padding.
+    A long document gives windows of its own first. Once the pool holds POOL windows, the tiers are packed from the
+    longest down, so long windows find short pieces for their gaps; KEEP of the pool stays for the gaps to come. What a
+    task has left in the end fills windows of a tier, then one of each power of two in its number: no token is padding.
     """
     pool = Packer()
-    held = 0
     for doc, n in lengths:
         whole = n // WINDOW * WINDOW
         for start in range(0, whole, WINDOW):
             yield WINDOW, [(doc, start, WINDOW)]
         if n > whole:
-            pool.add(doc, whole, n - whole)
-            held += n - whole
-        while held >= POOL * WINDOW:
-            yield WINDOW, pool.window(WINDOW)
-            held -= WINDOW
-    while held:
-        size = WINDOW if held >= WINDOW else 1 << (held.bit_length() - 1)
+            pool.add(n - whole, doc, whole)
+        if pool.held >= POOL * WINDOW:
+            while pool.held > KEEP * WINDOW:
+                size = pool.tier()
+                yield size, pool.window(size)
+    while pool.held:
+        size = pool.tier()
         yield size, pool.window(size)
-        held -= size
 
 
 COLUMNS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length long, tier int, step_group long"
@@ -138,8 +142,9 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
 
     One pass and no shuffle: a task packs the rows of its input partition, whose remainder costs a handful of short
     sequences. Sequence numbers start at the partition's number times 2**32, so a task that runs again gives the
-    same rows. Null and empty texts are one END id; rows of one id are packed each; null ids stay null. step_group
-    deals a task's full windows, in order of attention cost and back again, to groups of about GROUP windows.
+    same rows. Null and empty texts are one END id; rows of one id are packed each; null ids stay null; an empty table
+    gives none, and other columns don't matter. step_group deals a task's windows of one tier, in order of attention
+    cost and back again, to groups of GROUP * WINDOW tokens, so the steps of a tier are alike in size and in cost.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,37 +161,37 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
                     yield number, len(raw) // 4
                     number += 1
 
-        rows: list[tuple] = []
-        costs: list[tuple[int, int]] = []  # of the windows in rows: (attention cost, sequence)
+        rows: dict[int, list[tuple]] = defaultdict(list)  # by tier
+        costs: dict[int, list[tuple[int, int]]] = defaultdict(list)  # of the windows in rows: (attention cost, sequence)
         sequence = groups = 0
 
-        def dealt() -> pa.RecordBatch:
-            nonlocal rows, costs, groups
-            each = max(1, len(costs) // GROUP)
+        def dealt(tier: int) -> pa.RecordBatch:
+            nonlocal groups
+            each = max(1, len(costs[tier]) * tier // (GROUP * WINDOW))
             place = {}
-            for r, (_, s) in enumerate(sorted(costs)):
+            for r, (_, s) in enumerate(sorted(costs[tier])):
                 turn, k = divmod(r, each)
                 place[s] = base + groups + (k if turn % 2 == 0 else each - 1 - k)
             groups += each
-            cols = list(zip(*[(*r, TIERS[next((i for i, t in enumerate(TIERS) if r[7] <= t))], place[r[5]]) for r in rows]))
-            rows, costs = [], []
+            cols = list(zip(*[(*r, tier, place[r[5]]) for r in rows[tier]]))
+            del rows[tier], costs[tier]
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 8 else pa.int64()) for i, c in enumerate(cols)], names=[c.split()[0] for c in COLUMNS.split(", ")])
 
         for size, pieces in windows(lengths()):
-            offset = 0
+            offset, tier = 0, next(t for t in TIERS if size <= t)
             for number, start, length in pieces:
                 doc = held[number]
-                rows.append((doc[0], start, length, zlib.crc32(doc[1][4 * start : 4 * (start + length)]), doc[2], base + sequence, offset, size))
+                rows[tier].append((doc[0], start, length, zlib.crc32(doc[1][4 * start : 4 * (start + length)]), doc[2], base + sequence, offset, size))
                 offset += length
                 doc[3] -= length
                 if not doc[3]:
                     del held[number]
-            costs.append((sum(p[2] ** 2 for p in pieces), base + sequence))
+            costs[tier].append((sum(p[2] ** 2 for p in pieces), base + sequence))
             sequence += 1
-            if len(costs) >= 64 * GROUP:
-                yield dealt()
-        if rows:
-            yield dealt()
+            if len(costs[tier]) * tier >= 64 * GROUP * WINDOW:
+                yield dealt(tier)
+        for tier in sorted(rows):
+            yield dealt(tier)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("t"))
     return rows.mapInArrow(run, COLUMNS)
