@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import cut, shared_dir
 
 #: Shorter payloads are always written: a revisit record would be no smaller.
 MIN_BYTES = 1000
@@ -19,6 +19,9 @@ MIN_BYTES = 1000
 FILE_BYTES = 24 << 20
 #: Parts over which each repeated digest's records are dealt.
 SALTS = 32
+#: Repeated digests are known by so many of their hash's values before their pages are looked up.
+SLOTS = 1 << 20
+#: The date of all records: pages have none of their own.
 DATE = "2024-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "
@@ -36,9 +39,10 @@ def _bare(text: Column) -> Column:
 def resolve(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``(page_id, url, html, payload_bytes, payload_digest, record_type, refers_to, refers_url)`` of every page.
 
-    Only headers (digest, id, url) meet by digest; sums are made before the shuffle, so a digest that very many
-    records share costs a row a task. The repeated digests then join the pages, dealt over SALTS parts each. Null
-    html is an empty payload. Of pages with one payload of MIN_BYTES or more the largest id is the response, rows
+    Headers (digest, id, url) meet by digest, summed before the shuffle, so a digest that very many records share costs a
+    row a task. Pages that are too short, or whose digest is surely not repeated by a table of SLOTS values at most, are
+    responses where they are; only the others are shuffled, to join the repeated digests, dealt over SALTS parts each.
+    Null html is an empty payload. Of pages with one payload of MIN_BYTES or more the largest id is the response, rows
     that repeat this id included; if all ids are null, all are responses.
     """
     html = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
@@ -47,10 +51,15 @@ def resolve(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     headers = rows.filter(F.col("payload_bytes") >= MIN_BYTES).groupBy("payload_digest").agg(
         F.max("page_id").alias("first_id"), F.max_by("url", "page_id").alias("first_url"), F.count("*").alias("n")
     )
-    repeated = headers.filter("n > 1 and first_id is not null").select("payload_digest", "first_id", "first_url", F.explode(F.expr(f"sequence(0, {SALTS - 1})")).alias("salt"))
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
-    joined = salted.join(repeated, ["payload_digest", "salt"], "left")
-    again = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id")) & (F.col("payload_bytes") >= MIN_BYTES)
+    headers = cut(headers.filter("n > 1 and first_id is not null").drop("n"))
+    slot = F.xxhash64("payload_digest").bitwiseAND(F.lit(SLOTS - 1))
+    some = F.broadcast(headers.select(slot.alias("slot")).distinct().withColumn("maybe", F.lit(True)))  # SLOTS rows at most
+    marked = rows.withColumn("slot", F.when(F.col("payload_bytes") >= MIN_BYTES, slot)).join(some, "slot", "left").drop("slot")
+    first = marked.filter("maybe is null").withColumns({"first_id": F.lit(None).cast("long"), "first_url": F.lit(None).cast("string")})
+    repeated = headers.select("payload_digest", "first_id", "first_url", F.explode(F.expr(f"sequence(0, {SALTS - 1})")).alias("salt"))
+    salted = marked.filter("maybe").withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
+    joined = salted.join(repeated, ["payload_digest", "salt"], "left").drop("salt").unionByName(first)
+    again = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     return joined.select(
         "page_id", "url", "html", "payload_bytes", "payload_digest",
         F.when(again, "revisit").otherwise("response").alias("record_type"),
@@ -58,17 +67,25 @@ def resolve(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     )
 
 
+def _record_id(*parts: Column) -> Column:
+    digest = F.sha1(F.concat_ws("\x1f", *[F.coalesce(p.cast("string"), F.lit("none")) for p in parts]).cast("binary"))
+    return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *[F.substring(digest, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]), F.lit(">"))
+
+
 def records(resolved: DataFrame) -> DataFrame:
     """``(record)``: the text of a WARC/1.1 record for each page, without the two line ends that close it.
 
-    A revisit has the HTTP head of its response and no payload; its digest and length are the original's.
+    A revisit has the HTTP head of its response and no payload; its digest and length are the original's, and it names
+    the response's record, date and target. A response's record id follows from its payload, page and target, so that
+    revisits can name it; only responses that are equal in all three share one. A revisit's follows from its place too.
     """
     revisit = F.col("record_type") == "revisit"
     head = F.concat(F.lit(_HTTP), F.col("payload_bytes").cast("string"), F.lit("\r\n\r\n"))
     block = F.when(revisit, head).otherwise(F.concat(head, F.col("html")))
     key = F.coalesce(F.col("page_id").cast("string"), F.lit("none"))
-    digest = F.sha1(F.concat_ws("\x1f", F.lit("record"), key, _bare(F.col("url"))).cast("binary"))
-    record_id = F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *[F.substring(digest, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]), F.lit(">"))
+    own = [F.col("payload_digest"), F.col("page_id"), _bare(F.col("url"))]
+    response = _record_id(F.lit("response"), F.col("payload_digest"), F.col("refers_to"), _bare(F.col("refers_url")))
+    record_id = F.when(revisit, _record_id(F.lit("revisit"), *own, F.monotonically_increasing_id())).otherwise(_record_id(F.lit("response"), *own))
     return resolved.select(
         F.concat(
             F.lit("WARC/1.1\r\n"),
@@ -81,6 +98,8 @@ def records(resolved: DataFrame) -> DataFrame:
             _line("X-Payload-Length", F.col("payload_bytes").cast("string")),
             F.when(revisit, F.concat(
                 _line("WARC-Profile", F.lit(_PROFILE)),
+                _line("WARC-Refers-To", response),
+                _line("WARC-Refers-To-Date", F.lit(DATE)),
                 _line("WARC-Refers-To-Target-URI", _bare(F.col("refers_url"))),
                 _line("X-Refers-To-Page-ID", F.col("refers_to").cast("string")),
             )).otherwise(F.lit("")),
@@ -148,7 +167,10 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def archive(pages: DataFrame, folder: str | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Write ``pages`` as archives to ``folder`` (by default a new one in the shared folder) and read them back."""
+    """Write ``pages`` as archives to ``folder`` (by default a new one in the shared folder) and read them back.
+
+    A row for each page, whose id and url may be null or repeat; an empty table gives none; other columns don't matter.
+    """
     spark = pages.sparkSession
     folder = folder or f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     mean = pages.agg(F.avg(F.octet_length(F.col(html_col)))).first()[0] or 0.0
