@@ -12,10 +12,14 @@ from .common import cut, let
 
 #: Words of a k-mer, k-mers of a tuple, tuples of a fingerprint (a power of two).
 KMER, TUPLE, SIZE = 2, 2, 64
-#: A packed k-mer: 40 bits of its hash above 24 bits of its place, so that a plain sort of longs orders by hash.
-PLACE = (1 << 24) - 1
-#: Ids of one range in the search for neighbours.
-RANGE = 50_000
+#: A packed k-mer: 32 bits of its hash above 32 bits of its place, so that a plain sort of longs orders by hash.
+PLACE = (1 << 32) - 1
+#: Ids of one range in the search for neighbours, and ranges at most: more ids make larger ranges.
+RANGE, RANGES = 50_000, 2000
+#: A word: a letter of a script that is written without spaces, or up to WORD other characters but white space.
+WORD = 12
+_ALONE = r"\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF"
+_WORDS = rf"[{_ALONE}]|[^\x20\x09-\x0D{_ALONE}]{{1,{WORD}}}"
 
 
 def _first_at_least(sorted_longs: Column, bound: Column, n: Column) -> Column:
@@ -33,10 +37,12 @@ def signature(text: Column) -> Column:
     """SIZE ints whose share of agreement between two texts falls with their edit distance in words.
 
     A k-mer is KMER words in a row (all words of a shorter text) and the number of its occurrence, counted from the
-    text's start. Under each of SIZE orders the TUPLE least k-mers are taken, put back in text order and hashed. The
-    orders are one hash read from SIZE starting points round its range, so a text is hashed and sorted once.
+    text's start. Words end at white space, after WORD characters, and around letters of scripts without spaces, so a
+    text without any is not one word. Under each of SIZE orders the TUPLE least k-mers are taken, put back in text order
+    and hashed. The orders are one hash read from SIZE starting points round its range, so a text is hashed and sorted
+    once; short texts pay for that with a larger variance, as orders that start in one gap give one tuple.
     """
-    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    words = F.regexp_extract_all(text, F.lit(_WORDS), F.lit(0))
 
     def hashed(ws: Column) -> Column:
         rows = F.slice(ws, 1, F.greatest(F.size(ws) - (KMER - 1), F.lit(0)))
@@ -94,12 +100,12 @@ def text_form(signature: Column) -> Column:
 def neighbours(ids: DataFrame) -> DataFrame:
     """``ids(id, n)`` -> ``(id, prev_id, prev_n)``: whose next document in descending order each id is, round the end.
 
-    Ids are dealt to ranges of about RANGE and led within each; only a row for each range is ordered as a whole.
+    Ids are dealt to RANGES ranges at most and led within each; only a row for each range is ordered as a whole.
     Null ids are in no order; of a repeated id, n is the largest.
     """
     unique = ids.filter("id is not null").groupBy("id").agg(F.max("n").alias("n"))
     count = unique.count()
-    ranged = cut(unique.repartitionByRange(max(1, math.ceil(count / RANGE)), F.desc("id")).withColumn("range", F.spark_partition_id()))
+    ranged = cut(unique.repartitionByRange(min(RANGES, max(1, math.ceil(count / RANGE))), F.desc("id")).withColumn("range", F.spark_partition_id()))
     tops = ranged.groupBy("range").agg(F.max("id").alias("top"))
     first = tops.agg(F.max("top")).first()[0]
     following = tops.select("range", F.coalesce(F.lead("top").over(W.orderBy("range")), F.lit(first)).alias("after"))
