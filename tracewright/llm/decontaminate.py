@@ -7,7 +7,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +20,8 @@ STEP, CELLS = 16, 2
 RANK, EXTRA, ROUNDS = 192, 16, 2
 #: A benchmark is searched in blocks of so many passages, so that RANK dimensions hold most of each and what is broadcast is bounded.
 BLOCK_PASSAGES = RANK * 5 // 2
+#: Blocks that one pass over the corpus searches for; their models are what is broadcast.
+AT_ONCE = 16
 #: For items of fewer words than a passage it falls with the root of their share of one.
 MIN_COSINE = 0.4
 #: Share of an item's words, in order, that proves a copy; that suffices if the answer is there as well.
@@ -178,11 +180,10 @@ class Retriever:
         self.least = (MIN_COSINE * np.sqrt(np.minimum(1, lengths / (STEP * CELLS)))).astype(np.float32)
         self.bags = [Counter(t) for t in items.texts]
 
-    def search(self, texts: list[str | None]) -> list[dict[int, tuple[float, float, bool]]]:
-        """For each text the items found in it: (cosine, share of the item's words in order, answer found)."""
+    def search(self, tokens: list[list[str]]) -> list[dict[int, tuple[float, float, bool]]]:
+        """For the words of each text the items found in it: (cosine, share of the item's words in order, answer found)."""
         known, other = self.items.terms, len(self.items.terms)
-        found: list[dict] = [{} for _ in texts]
-        tokens = [words(t) for t in texts]
+        found: list[dict] = [{} for _ in tokens]
         ids, docs = [], []
         for d, ws in enumerate(tokens):
             if ws:  # filled up to whole cells with what adds nothing
@@ -222,53 +223,66 @@ class Retriever:
             found[i] = (max(cosine, best[0] if best else 0.0), share, answered)
 
 
-def retrievers(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text_col: str) -> Iterator[Retriever]:
+def retrievers(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text_col: str) -> Iterator[list[Retriever]]:
+    """The benchmark's blocks, AT_ONCE at once: two passes over the corpus for each such group."""
     spark = docs.sparkSession
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
-    for items in blocks(benchmark, item_col, item_text_col):
-        idf = inverse_frequencies(texts, items.terms)
-        yield Retriever(items, idf, right_vectors(spark, items.passages, idf))
+    every = blocks(benchmark, item_col, item_text_col)
+    while group := list(islice(every, AT_ONCE)):
+        terms: dict[str, int] = {}
+        for items in group:
+            for w in items.terms:
+                terms.setdefault(w, len(terms))
+        idf = inverse_frequencies(texts, terms)
+        own = [idf[[terms[w] for w in items.terms]] for items in group]
+        yield [Retriever(items, i, right_vectors(spark, items.passages, i)) for items, i in zip(group, own)]
 
 
 def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """``(doc_id, item_id, cosine, common, answered)``: a row for each document and benchmark item found in it.
 
-    Every item is searched in every passage of every whole text. Null and empty texts and items find nothing; ids
-    that repeat give a row each. Items whose ids aren't numbers are not supported.
+    Every item is searched in every passage of every whole text. Null and empty texts and items find nothing; ids that
+    repeat or are null give a row each. Ids of items may be of any type. Empty tables give none; other columns don't matter.
     """
     spark = docs.sparkSession
-    schema = "doc_id long, item_id long, cosine double, common double, answered boolean"
-    out = spark.createDataFrame([], schema)
-    for retriever in retrievers(docs, benchmark, text_col, item_col, item_text_col):
-        shared = spark.sparkContext.broadcast(retriever)
+    kind = benchmark.schema[item_col].dataType.simpleString()
+    out = spark.createDataFrame([], f"doc_id long, item_id {kind}, cosine double, common double, answered boolean")
+    ids = benchmark.select(F.col(item_col).cast("string").alias(item_col), item_text_col)
+    for group in retrievers(docs, ids, text_col, item_col, item_text_col):
+        shared = spark.sparkContext.broadcast(group)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for k in range(0, batch.num_rows, 64):
                     part = batch.slice(k, 64)
+                    tokens = [words(t) for t in part.column(1).to_pylist()]
                     rows = [
-                        (doc_id, shared.value.items.ids[i], *got)
-                        for doc_id, found in zip(part.column(0).to_pylist(), shared.value.search(part.column(1).to_pylist()))
+                        (doc_id, retriever.items.ids[i], *got)
+                        for retriever in shared.value
+                        for doc_id, found in zip(part.column(0).to_pylist(), retriever.search(tokens))
                         for i, got in sorted(found.items())
                     ]
                     if rows:
-                        kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.bool_()]
+                        kinds = [pa.int64(), pa.string(), pa.float64(), pa.float64(), pa.bool_()]
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["doc_id", "item_id", "cosine", "common", "answered"])
 
         rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-        out = out.union(rows.mapInArrow(run, schema))
+        found = rows.mapInArrow(run, "doc_id long, item_id string, cosine double, common double, answered boolean")
+        out = out.union(found.withColumn("item_id", F.col("item_id").cast(kind)))
     return out
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """``docs`` without the rows in which an item is found; all columns and every other row stay."""
-    for retriever in retrievers(docs, benchmark, text_col, item_col, item_text_col):
-        shared = docs.sparkSession.sparkContext.broadcast(retriever)
+    for group in retrievers(docs, benchmark, text_col, item_col, item_text_col):
+        shared = docs.sparkSession.sparkContext.broadcast(group)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                texts = batch.column(batch.schema.get_field_index(text_col))
-                keep = [not f for k in range(0, batch.num_rows, 64) for f in shared.value.search(texts.slice(k, 64).to_pylist())]
+                keep, texts = [], batch.column(batch.schema.get_field_index(text_col)).to_pylist()
+                for k in range(0, batch.num_rows, 64):
+                    tokens = [words(t) for t in texts[k : k + 64]]
+                    keep += [not any(found) for found in zip(*(retriever.search(tokens) for retriever in shared.value))]
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
