@@ -115,7 +115,9 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
         return Filters.build([], [])
     langs = sorted(sizes)
     rate = F.create_map(*[F.lit(v) for k in langs for v in (k, min(1.0, FIT_ROWS / sizes[k]))])
-    drawn = rows.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < rate[F.col("lang")] * (1 << 30)).select("lang", "text")
+    # rows without an id are drawn by their texts
+    own = F.when(F.col("id").isNotNull(), F.xxhash64("id")).otherwise(F.xxhash64("text"))
+    drawn = rows.filter(F.pmod(own, F.lit(1 << 30)) < rate[F.col("lang")] * (1 << 30)).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """How many rows have an n-gram, by language; summed within the task as far as memory allows."""
@@ -180,7 +182,8 @@ def identify(docs: DataFrame, filters: Filters, id_col: str = "doc_id", text_col
 def predict(docs: DataFrame, folds: int = 5) -> DataFrame:
     """``(doc_id, held_out, lang_pred, score)``: learned from the documents outside fold 0, said of all.
 
-    Null texts, texts without letters and an empty training part give ``und``. Repeated ids keep their rows.
+    Null texts, texts without letters and an empty training part give ``und``. Repeated ids keep their rows, null ids stay
+    null and are not held out; an empty table gives none. Languages tie to the first by name.
     """
     filters = fit(docs.filter(fold(F.col("doc_id"), folds) != 0))
     return identify(docs, filters).select("doc_id", (fold(F.col("doc_id"), folds) == 0).alias("held_out"), "lang_pred", "score")
