@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .common import fold
 
 #: Labelled examples taken at most of each class, in order of a hash of the id. All their words are terms.
-FIT_TOXIC, FIT_CLEAN = 2000, 4000
+FIT_TOXIC, FIT_CLEAN = 1000, 2500
 #: Neighbours that vote, examples of a block, blocks that are read before any is skipped.
 NEIGHBOURS, BLOCK, AHEAD = 25, 32, 8
 #: A term is frequent if more than 1/DENSE of the examples have it; texts that are scored at once.
@@ -61,9 +61,15 @@ class BlockMaxIndex:
         known = sorted((self.place[w], n) for w, n in counts.items() if w in self.place)
         if not known:
             return np.zeros(0, dtype=np.int64), np.zeros(0)
-        terms, n = np.array(known, dtype=np.int64).T
-        values = (1 + np.log(n)) * self.weight[terms]
-        return terms, values / np.linalg.norm(values)
+        return self.unit(*np.array(known, dtype=np.int64).T)
+
+    def unit(self, terms: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Terms, in order, and the unit vector of their counts ``n``."""
+        if not len(terms):
+            return np.zeros(0, dtype=np.int64), np.zeros(0)
+        order = np.argsort(terms)
+        values = (1 + np.log(n[order])) * self.weight[terms[order]]
+        return terms[order], values / np.linalg.norm(values)
 
     def fill(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
         self.size, self.blocks = len(vectors), -(-len(vectors) // BLOCK)
@@ -173,8 +179,8 @@ def calibrate(odds: np.ndarray, labels: np.ndarray, shares: np.ndarray) -> tuple
     return float(beta[0]), float(beta[1])
 
 
-def _frequencies(corpus: DataFrame, place: dict[str, int]) -> dict[int, int]:
-    """How many rows of ``corpus(text)`` have each term, summed within tasks first; -1 counts the rows."""
+def _frequencies(corpus: DataFrame, place: dict[str, int]) -> tuple[int, np.ndarray]:
+    """How many rows ``corpus(text)`` has, and how many have each term; summed within tasks first."""
     shared = corpus.sparkSession.sparkContext.broadcast(place)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,8 +193,12 @@ def _frequencies(corpus: DataFrame, place: dict[str, int]) -> dict[int, int]:
         used = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array([-1, *used.tolist()], pa.int64()), pa.array([rows, *sums[used].tolist()], pa.int64())], names=["term", "n"])
 
-    counted = corpus.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    return {r["term"]: r["n"] for r in counted.collect()}  # a row for each term of the examples
+    counted = corpus.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # a row for each term of the examples
+    terms, n = (counted.column(c).to_numpy() for c in ("term", "n"))
+    found = np.zeros(len(place) + 1, dtype=np.int64)
+    found[terms] = n  # -1 is the last
+    shared.unpersist()
+    return int(found[-1]), found[:-1]
 
 
 def fit(docs: DataFrame, labels: DataFrame, everything: DataFrame | None = None, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic") -> BlockMaxIndex:
@@ -221,23 +231,27 @@ def fit(docs: DataFrame, labels: DataFrame, everything: DataFrame | None = None,
             each = [pa.array([list(c) for c in counts], pa.list_(pa.string())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *each], names=["k", "y", "words", "ns"])
 
-    got = examples.select(F.col("k").cast("long").alias("k"), "y", "one.text").mapInArrow(count, "k long, y int, words array<string>, ns array<long>").collect()
+    counted = examples.select(F.col("k").cast("long").alias("k"), "y", "one.text").mapInArrow(count, "k long, y int, words array<string>, ns array<long>")
+    place: dict[str, int] = {}
+    got: list[tuple] = []  # (label, most frequent word, id, terms, counts)
+    for r in counted.orderBy("k").toLocalIterator():  # words become numbers row by row, so that the driver holds no more
+        first = min(zip((-n for n in r["ns"]), r["words"]), default=(0, ""))
+        terms = np.array([place.setdefault(w, len(place)) for w in r["words"]], dtype=np.int32)
+        got.append((r["y"], first, r["k"], terms, np.array(r["ns"], dtype=np.int32)))
     # toxic ones next to each other, and texts of like words: the blocks' maxima are tighter
-    got.sort(key=lambda r: (r["y"], min(zip((-n for n in r["ns"]), r["words"]), default=(0, "")), r["k"]))
-    counts = [Counter(dict(zip(r["words"], r["ns"]))) for r in got]
-    place = {w: i for i, w in enumerate(sorted(set().union(*counts)))}
-    y = np.array([r["y"] for r in got])
+    got.sort(key=lambda g: g[:3])
+    y = np.array([g[0] for g in got])
     having = np.zeros((2, len(place)))
-    for c, label in zip(counts, y.tolist()):
-        having[label, [place[w] for w in c]] += 1
+    for label, _, _, terms, _ in got:
+        having[label, terms] += 1
     corpus = (docs if everything is None else everything).select(F.col(text_col).cast("string").alias("text"))
-    seen = _frequencies(corpus, place)
-    frequency = np.array([seen.get(i, 0) for i in range(len(place))])
-    weight = (np.log((1 + seen.get(-1, 0)) / (1 + frequency)) + 1) * np.log2(2 + having[1] / np.maximum(1, having[0]))
+    rows, frequency = _frequencies(corpus, place)
+    weight = (np.log((1 + rows) / (1 + frequency)) + 1) * np.log2(2 + having[1] / np.maximum(1, having[0]))
     taken = Counter(y.tolist())
     stands = np.array([sizes[int(v)] / taken[int(v)] for v in y])
-    index = BlockMaxIndex(place, weight, y, stands, np.array([r["k"] for r in got]), sizes.get(1, 0) / sum(sizes.values()))
-    vectors = [index.vector(c) for c in counts]
+    index = BlockMaxIndex(place, weight, y, stands, np.array([g[2] for g in got]), sizes.get(1, 0) / sum(sizes.values()))
+    vectors = [index.unit(terms.astype(np.int64), n) for _, _, _, terms, n in got]
+    del got
     index.fill(vectors)
     index.slope, index.shift = _calibration(spark, index, vectors)
     return index
@@ -259,7 +273,9 @@ def _calibration(spark, index: BlockMaxIndex, vectors: list[tuple[np.ndarray, np
                     out.append((e, model.odds(found, cosines)))
             yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.float64())], names=["e", "odds"])
 
+    # the model goes out once more, calibrated, so this copy is dropped
     got = sorted(spark.range(len(vectors)).repartition(16).mapInArrow(run, "e long, odds double").collect())  # FIT_* rows
+    shared.destroy()
     e = np.array([r["e"] for r in got], dtype=np.int64)
     return calibrate(np.array([r["odds"] for r in got]), index.labels[e], index.shares[e] / index.shares.mean())
 
