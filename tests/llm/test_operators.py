@@ -456,7 +456,7 @@ def test_very_many_removed_lines_take_little_time(spark):
 
 @pytest.mark.parametrize("share", [0.05, 0.1, 0.15, 0.2])
 def test_recall_of_changed_lines_by_length(spark, share):
-    """Real lines with a share of the words replaced, each with its original: at least nine of ten meet at every length."""
+    """Real lines with a share of the words replaced, left out or doubled, each with its original: at least nine of ten meet at every length."""
     rng = random.Random(int(100 * share))
     texts = pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"]).column(0).to_pylist()
     pool = collections.defaultdict(list)
@@ -469,8 +469,8 @@ def test_recall_of_changed_lines_by_length(spark, share):
     for length, found in pool.items():
         for w in rng.sample(found, 250):
             copy = list(w)
-            for at in rng.sample(range(len(w)), max(1, int(share * len(w)))):
-                copy[at] = rng.choice(rng.choice(found))
+            for at in sorted(rng.sample(range(len(w)), max(1, int(share * len(w)))), reverse=True):
+                copy[at : at + 1] = [[rng.choice(rng.choice(found))], [], [copy[at], "more"]][rng.choice([0, 0, 1, 2])]
             if copy != w and alike(w, copy):
                 of[len(rows) + 1] = length
                 rows += [" ".join(w), " ".join(copy)]
