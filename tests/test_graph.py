@@ -50,7 +50,7 @@ def test_temp_lineage_of_many_chains_is_quick(spark):
     began = time.time()
     got = graph.temp_table_lineage(spark, chain_fills(spark), edges(spark, [])).filter("temp = '#t4'").collect()
     assert {(r["module"], r["base"]) for r in got} == {(i, f"base{i}") for i in range(40)} and len(got) == 40
-    assert time.time() - began < 60
+    assert time.time() - began < 15
 
 
 def test_temp_lineage_on_a_cycle_of_calls(spark):
@@ -64,7 +64,7 @@ def test_locate_falls_back_and_reports_what_is_not_indexed(spark):
     index = spark.createDataFrame([("a", "hr", "t"), ("b", "dbo", "t")], "database string, schema string, key string")
     known = spark.createDataFrame([("a",), ("b",), ("c",)], "database string")
     got = {tuple(r) for r in resolve.locate(wanted, index, known).collect()}
-    assert got == {(1, "a", "matched"), (2, "a", "matched"), (2, "b", "matched"), *[(i, "c", "unindexed") for i in (1, 2, 3)]}
+    assert got == {(1, "a", "matched"), (2, "a", "matched"), (2, "b", "matched"), (None, "c", "unindexed")}
 
 
 def test_bound_target_reasons(spark):
@@ -75,7 +75,7 @@ def test_bound_target_reasons(spark):
 
 def test_aliases_on_a_cycle_end(spark):
     got = evidence.flatten_aliases(spark.createDataFrame([("a", "b"), ("b", "c"), ("x", "y"), ("y", "x")], "name string, target string")).collect()
-    assert dict(map(tuple, got))["a"] == "c" and len(got) == 4
+    assert dict(map(tuple, got)) == {"a": "c", "b": "c", "x": "y", "y": "x"}
 
 
 def test_top_is_bounded(spark):

@@ -5,10 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .lexing import sql_without_comments
+
 WRITES = ("WRITE", "WRITE_INDIRECT", "INSERT", "UPDATE", "DELETE", "MERGE", "SELECT_INTO")
 
-_NAME = r"((?:\[?\w+\]?\s*\.\s*){0,3}\[?[#@]?\w+\]?)"
-_TABLE_PATTERNS = (r"FROM\s+", r"JOIN\s+", r"INSERT\s+INTO\s+", r"MERGE\s+(?:INTO\s+)?", r"USING\s+", r"UPDATE\s+", r"DELETE\s+FROM\s+")
+#: One part of a written name, and a name of up to four parts of which inner ones may be empty.
+_PART = r"(?:\[[^\]]+\]|\w+)"
+_NAME = rf"({_PART}(?:\.{_PART}?){{0,3}})(?![\w.])"
+#: What introduces a table; but for INSERT, whose columns may follow, a name before ``(`` is a function.
+_TABLE_PATTERNS = (
+    rf"\bFROM\s+{_NAME}(?!\s*\()", rf"\bJOIN\s+{_NAME}(?!\s*\()", rf"\bINSERT\s+INTO\s+{_NAME}", rf"\bMERGE\s+(?:INTO\s+)?{_NAME}(?!\s*\()",
+    rf"\bUSING\s+{_NAME}(?!\s*\()", rf"\bUPDATE\s+(?!SET\b){_NAME}(?!\s*\()", rf"\bDELETE\s+FROM\s+{_NAME}(?!\s*\()",
+)
+#: The same for the quick look at a module: any run of name characters after one of four words.
+_QUICK_PATTERNS = tuple(rf"{w}\s+([\[\w\].]+)" for w in ("FROM", "JOIN", "INTO", "UPDATE"))
+_QUICK_WORDS = ("SELECT", "INSERT", "UPDATE", "DELETE", "EXEC", "EXECUTE")
 
 
 def collapse(text: Column) -> Column:
@@ -47,19 +58,36 @@ def is_write(access: Column) -> Column:
     return F.upper(F.coalesce(access, F.lit(""))).isin(*WRITES)
 
 
+def _uncommented(text: Column) -> Column:
+    return F.when(text.rlike(r"--|/\*"), sql_without_comments(text)).otherwise(text)
+
+
 def tables(text: Column) -> Column:
-    """Distinct table names after the keywords that introduce one; a name before ``(`` is a function."""
-    found = [F.regexp_extract_all(text, F.lit(rf"(?iU)\b{p}{_NAME}(?![\w.(])"), F.lit(1)) for p in _TABLE_PATTERNS]
-    return F.array_distinct(F.transform(F.flatten(F.array(*found)), lambda t: F.regexp_replace(F.translate(t, "[]", ""), r"\s+", "")))
+    """Distinct tables that a statement names, as written but for brackets; comments are not read.
+
+    Parts that are not stated stay empty (``PUR..Users``). Names of one character are none.
+    """
+    clean = _uncommented(text)
+    found = [F.regexp_extract_all(clean, F.lit(f"(?iU){p}"), F.lit(1)) for p in _TABLE_PATTERNS]
+    plain = F.transform(F.flatten(F.array(*found)), lambda t: F.translate(t, "[]", ""))
+    return F.array_distinct(F.filter(plain, lambda t: F.length(F.element_at(F.split(t, r"\."), -1)) > 1))
+
+
+def quick_tables(text: Column) -> Column:
+    """Tables of a module's body at a quick look: what follows four words, but for temporary ones, variables and keywords."""
+    clean = F.regexp_replace(F.regexp_replace(text, r"(?m)--.*$", ""), r"(?s)/\*.*?\*/", "")
+    found = F.flatten(F.array(*[F.regexp_extract_all(clean, F.lit(f"(?iU){p}"), F.lit(1)) for p in _QUICK_PATTERNS]))
+    plain = F.transform(found, lambda t: F.translate(t, "[]", ""))
+    return F.array_distinct(F.filter(plain, lambda t: (F.length(t) > 1) & ~F.upper(t).isin(*_QUICK_WORDS)))
 
 
 def flags(text: Column) -> Column:
-    """STRUCT of dynamic_sql, temp_table, cursor, transaction."""
+    """STRUCT of dynamic_sql, temp_table, cursor, transaction. Only a command in a variable is dynamic."""
     return F.struct(
-        text.rlike(r"(?i)\b(EXEC(UTE)?\s*\(|sp_executesql)").alias("dynamic_sql"),
-        text.rlike(r"(?i)(CREATE\s+TABLE\s+#|INTO\s+#|#\w+)").alias("temp_table"),
-        text.rlike(r"(?i)\bDECLARE\s+\w+\s+CURSOR\b").alias("cursor"),
-        text.rlike(r"(?i)\bBEGIN\s+TRAN(SACTION)?\b").alias("transaction"),
+        text.rlike(r"(?i)EXEC\s*\(\s*@|sp_executesql").alias("dynamic_sql"),
+        text.rlike(r"(?U)#\w+").alias("temp_table"),
+        text.rlike(r"(?iU)DECLARE\s+\w+\s+CURSOR").alias("cursor"),
+        text.rlike(r"(?iU)BEGIN\s+TRAN").alias("transaction"),
     )
 
 
@@ -190,7 +218,11 @@ def snippet(text: Column, first: int = 40, most: int = 600) -> Column:
     return F.filter(lines, lambda x: F.trim(x) != "")
 
 
-def path_id(*segments: Column) -> Column:
-    """``P-`` and 12 hex digits of the SHA-256 over the segments, joined by the unit separator; nulls count as ''."""
+def path_id(database: Column, file: Column, start: Column, end: Column, entry: Column, schema: Column, procedure: Column, snapshot: Column, modules: Column, operation: Column, conditions: Column) -> Column:
+    """``P-`` and 12 hex digits of the SHA-256 over eleven segments, joined by the unit separator; nulls count as ''.
+
+    ``modules`` are joined by ``|`` and ``conditions`` by the record separator; the names are comparison keys.
+    """
+    segments = [database, file, start, end, entry, schema, procedure, snapshot, F.array_join(modules, "|"), operation, F.array_join(conditions, "\x1e")]
     joined = F.concat_ws("\x1f", *[F.coalesce(s.cast("string"), F.lit("")) for s in segments])
     return F.concat(F.lit("P-"), F.substring(F.sha2(joined, 256), 1, 12))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .graph import cut
+
 #: Reasons and status in the order in which the conditions are tried.
 PROVEN, LIKELY, UNRESOLVED = "proven", "likely", "unresolved"
 
@@ -94,20 +96,36 @@ def bound_target(calls: DataFrame, implementers: DataFrame) -> DataFrame:
     return joined.select("call_id", F.when(reason == "", F.col("c")).alias("target_class"), reason.alias("reason"))
 
 
-def flatten_aliases(aliases: DataFrame, max_rounds: int = 20) -> DataFrame:
-    """``aliases(name, target)`` -> ``(name, final)``: the end of each chain of delegations, or of the walk that meets itself.
+def _jump(steps: DataFrame, moves: DataFrame, rounds: int) -> DataFrame:
+    """``steps(name, at)`` along ``moves(at, to)``, both doubled each round, until nothing moves or ``rounds`` are over."""
+    for _ in range(rounds):
+        ahead = cut(steps.join(moves, "at", "left"))
+        steps = ahead.select("name", F.coalesce("to", "at").alias("at"))
+        if ahead.filter("`to` is not null").isEmpty():
+            break
+        moves = cut(moves.alias("m").join(moves.alias("n"), F.col("m.to") == F.col("n.at"), "left").select(F.col("m.at"), F.coalesce("n.to", "m.to").alias("to")))
+    return steps
+
 
-    A walk stops before a name that it has been at.
+def flatten_aliases(aliases: DataFrame) -> DataFrame:
+    """``aliases(name, target)``, a row for each name -> ``(name, final)``: the end of each chain of delegations.
+
+    A walk stops before a name that it has been at, so on a circle it ends with the name before the one it came in by.
+    Jumps double each round, so a chain of any length takes the logarithm of the number of names.
     """
-    step = aliases.select("name", F.col("target").alias("at"), F.array("name").alias("seen"))
-    for _ in range(max_rounds):
-        nxt = aliases.select(F.col("name").alias("at"), F.col("target").alias("to"))
-        ahead = step.join(nxt, "at", "left")
-        moved = F.col("to").isNotNull() & ~F.array_contains("seen", F.col("to")) & ~F.array_contains("seen", F.col("at"))
-        if ahead.filter(moved).isEmpty():
-            break
-        step = ahead.select("name", F.when(moved, F.col("to")).otherwise(F.col("at")).alias("at"), F.when(moved, F.array_append("seen", F.col("at"))).otherwise(F.col("seen")).alias("seen"))
-    return step.select("name", F.col("at").alias("final"))
+    moves = cut(aliases.select(F.col("name").alias("at"), F.col("target").alias("to")))
+    rounds = max(1, moves.count()).bit_length() + 1
+    ends = _jump(aliases.select("name", F.col("target").alias("at")), moves, rounds)
+    # after as many steps as there are names, who still can go on is on a circle
+    circle = cut(ends.select("at").distinct().join(moves, "at"))
+    if circle.isEmpty():
+        return ends.select("name", F.col("at").alias("final"))
+    around = circle.select("at")
+    # the first name on a circle that each walk meets, the name itself for those on it
+    entry = _jump(aliases.select("name", F.col("name").alias("at")), cut(moves.join(around, "at", "left_anti")), rounds)
+    before = circle.select(F.col("to").alias("entry"), F.col("at").alias("last"))
+    stopped = entry.withColumnRenamed("at", "entry").join(before, "entry").select("name", "last")
+    return ends.join(stopped, "name", "left").select("name", F.coalesce("last", "at").alias("final"))
 
 
 def branch_compatible(branch: Column, other: Column) -> Column:

@@ -6,6 +6,9 @@ lost executor costs no more than the round it was lost in.
 
 from __future__ import annotations
 
+import tempfile
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,25 +16,47 @@ MAX_CALL_DEPTH = 5
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise in the folder the cluster names in spark.checkpoint.dir (a local one if it names none)."""
+    """Materialise in the folder the cluster names in spark.checkpoint.dir; a local session may have one of its own."""
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not spark.sparkContext.master.startswith("local["):
+                raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+            folder = tempfile.mkdtemp(prefix="checkpoints-")
+        spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
 
+class Levels:
+    """Rows of the rounds of a loop, each materialised once; every MANY rounds they become one table."""
+
+    MANY = 8
+
+    def __init__(self, first: DataFrame):
+        self.tables = [first]
+
+    def add(self, level: DataFrame) -> None:
+        self.tables.append(level)
+        if len(self.tables) > self.MANY:
+            self.tables = [cut(self.rows())]
+
+    def rows(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, self.tables)
+
+
 def expand_bounded(entries: DataFrame, calls: DataFrame, max_depth: int = MAX_CALL_DEPTH) -> DataFrame:
     """``entries(module)``, ``calls(source, target)`` as a bag -> ``(entry, module, chain, status)``.
 
     status: ``ok``, ``stored_procedure_call_cycle`` (the module is in the chain before it) or
     ``call_expansion_truncated`` (more than ``max_depth`` modules before it); the cycle is looked for first and neither
-    is expanded further. Duplicate calls give duplicate chains.
+    is expanded further. Duplicate calls give duplicate chains. Each level is materialised once.
     """
     level = entries.select(F.col("module").alias("entry"), "module", F.array("module").alias("chain"), F.lit("ok").alias("status"))
     found = level
     for depth in range(1, max_depth + 2):
         ahead = level.filter("status = 'ok'").select("entry", F.col("module").alias("source"), "chain")
-        level = ahead.join(calls.select("source", "target"), "source").select(
+        level = cut(ahead.join(calls.select("source", "target"), "source").select(
             "entry",
             F.col("target").alias("module"),
             F.concat("chain", F.array("target")).alias("chain"),
@@ -39,7 +64,7 @@ def expand_bounded(entries: DataFrame, calls: DataFrame, max_depth: int = MAX_CA
             .when(F.lit(depth > max_depth), "call_expansion_truncated")
             .otherwise("ok")
             .alias("status"),
-        )
+        ))
         found = found.unionByName(level)
     return found
 
@@ -48,13 +73,13 @@ def reach(starts: DataFrame, edges: DataFrame, max_rounds: int = 1000) -> DataFr
     """``starts(origin, node)``, ``edges(source, target)`` -> ``(origin, node, depth)``: everything reachable, once, at its least depth."""
     edges = edges.select("source", "target").distinct()
     frontier = cut(starts.select("origin", "node").distinct().withColumn("depth", F.lit(0)))
-    seen = frontier
+    seen = Levels(frontier)
     for depth in range(1, max_rounds + 1):
         ahead = frontier.join(edges, F.col("node") == F.col("source")).select("origin", F.col("target").alias("node")).distinct()
-        frontier = cut(ahead.join(seen, ["origin", "node"], "left_anti").withColumn("depth", F.lit(depth)))
+        frontier = cut(ahead.join(seen.rows(), ["origin", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
-            return seen
-        seen = cut(seen.unionByName(frontier))
+            return seen.rows()
+        seen.add(frontier)
     raise RuntimeError("reach did not end")
 
 
@@ -90,33 +115,38 @@ def fixed_point(start: DataFrame, step, merge, max_rounds: int = 1000) -> DataFr
     raise RuntimeError("fixed point not reached")
 
 
-def temp_table_lineage(spark: SparkSession, selects: DataFrame, calls: DataFrame) -> DataFrame:
+def temp_table_lineage(spark: SparkSession, selects: DataFrame, calls: DataFrame, shadowed: DataFrame | None = None) -> DataFrame:
     """Base tables behind the temporary tables a module uses.
 
     ``selects(module, temp, base)``: the module fills ``temp`` from ``base``, which is a base table or another temp
-    table (``#``); ``calls(source, target)``. A temp table is seen by callers and by callees of the module that fills
-    it, in one direction only. -> ``(module, temp, base, chain)``: the shortest chain of modules, the first by
-    name of those.
+    table (``#``); ``calls(source, target)``. A temp table is looked for up the callers or down the callees of the module
+    that uses it, and what fills it there is looked for in the same direction: the two are never mixed. A name in
+    ``shadowed(module, temp)`` is the module's own: nobody looks up out of that module for it, or down into it.
+    -> ``(module, temp, base, chain)``: the shortest chain of modules, the first by name of those.
     """
-    own = selects.select("module", "temp", "base", F.array("module").alias("chain"), F.lit("none").alias("way"))
+    own = selects.select("module", "temp", "base", F.array("module").alias("chain"), F.explode(F.array(*map(F.lit, ("up", "down", "here")))).alias("way"))
+    shadowed = (shadowed if shadowed is not None else selects.limit(0)).select(F.col("module").alias("own_module"), F.col("temp").alias("own_temp")).distinct()
+
+    def free(states: DataFrame, module: str) -> DataFrame:
+        return states.join(shadowed, (F.col(module) == F.col("own_module")) & (F.col("temp") == F.col("own_temp")), "left_anti")
 
     def step(states: DataFrame) -> DataFrame:
-        up = states.filter("way <> 'down'").join(calls, F.col("module") == F.col("target")).select(F.col("source").alias("module"), "temp", "base", F.concat(F.array("source"), "chain").alias("chain"), F.lit("up").alias("way"))
-        down = states.filter("way <> 'up'").join(calls, F.col("module") == F.col("source")).select(F.col("target").alias("module"), "temp", "base", F.concat(F.array("target"), "chain").alias("chain"), F.lit("down").alias("way"))
+        # what a caller sees looking up, its callees see looking up; what a callee sees looking down, its callers see
+        called = free(states.filter("way = 'up'").join(calls, F.col("module") == F.col("source")), "target").select(F.col("target").alias("module"), "temp", "base", F.concat(F.array("target"), "chain").alias("chain"), "way")
+        caller = free(states.filter("way = 'down'"), "module").join(calls, F.col("module") == F.col("target")).select(F.col("source").alias("module"), "temp", "base", F.concat(F.array("source"), "chain").alias("chain"), "way")
+        moved = called.unionByName(caller)
         through = (
             states.alias("s").join(selects.alias("t"), (F.col("s.module") == F.col("t.module")) & (F.col("s.temp") == F.col("t.base")))
-            .select(F.col("t.module"), F.col("t.temp"), F.col("s.base"), F.col("s.chain"), F.lit("none").alias("way"))
+            .select(F.col("t.module"), F.col("t.temp"), F.col("s.base"), F.col("s.chain"), F.col("s.way"))
         )
-        return up.unionByName(down).unionByName(through)
+        return moved.unionByName(moved.withColumn("way", F.lit("here"))).unionByName(through)
 
     def merge(states: DataFrame) -> DataFrame:
         best = F.min(F.struct(F.size("chain").alias("n"), F.col("chain").alias("chain")))
         return states.groupBy("module", "temp", "base", "way").agg(best.alias("b")).select("module", "temp", "base", F.col("b.chain").alias("chain"), "way")
 
     done = fixed_point(own, step, merge)
-    real = done.filter(~F.col("base").startswith("#"))
-    best = F.min(F.struct(F.size("chain").alias("n"), F.col("chain").alias("chain")))
-    return real.groupBy("module", "temp", "base").agg(best.alias("b")).select("module", "temp", "base", F.col("b.chain").alias("chain"))
+    return done.filter((F.col("way") == "here") & ~F.col("base").startswith("#")).select("module", "temp", "base", "chain")
 
 
 def container_lineage(reads: DataFrame) -> DataFrame:
@@ -140,24 +170,36 @@ def simple_paths(starts: DataFrame, edges: DataFrame, max_nodes: int = 4) -> Dat
     return found
 
 
-def root_chains(starts: DataFrame, edges: DataFrame, max_nodes: int = 8) -> DataFrame:
-    """Reverse chains from ``starts(node)`` to nodes without callers: ``(node, chain)``, the caller first.
+def root_chains(starts: DataFrame, edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+    """Reverse chains from ``starts(node)`` to entries: ``(node, root, chain)``, the caller first, of any length.
 
-    Chains that meet themselves are dropped; of those left the longest, then the last by name, is kept for each root.
+    A chain ends at a node without callers, or where it meets itself. For each node and root the longest chain, then the
+    last by name, is kept. A chain that meets itself has no root and goes, but for the one that is the longest, then the
+    last, of all chains of its node: the node has no less than one.
     """
-    calls = edges.select("source", "target").filter("source <> target").distinct()
+    calls = edges.select("source", "target").distinct()
     heads = calls.select(F.col("target").alias("called")).distinct()
-    level = starts.select("node", F.array("node").alias("chain"))
-    found = []
-    for _ in range(max_nodes):
-        ends = level.join(heads, F.element_at("chain", 1) == F.col("called"), "left_anti")
-        found.append(ends.select("node", "chain"))
-        level = level.join(calls, F.element_at("chain", 1) == F.col("target")).filter(~F.array_contains("chain", F.col("source"))).select("node", F.concat(F.array("source"), "chain").alias("chain"))
-    every = found[0]
-    for f in found[1:]:
-        every = every.unionByName(f)
-    best = F.max(F.struct(F.size("chain").alias("n"), F.col("chain").alias("chain")))
-    return every.groupBy("node", F.element_at("chain", 1).alias("root")).agg(best.alias("b")).select("node", "root", F.col("b.chain").alias("chain"))
+    level = starts.select("node", F.array("node").alias("chain"), F.lit(False).alias("meets"))
+    done = None
+    for _ in range(max_rounds):
+        open_ = level.filter("not meets").join(heads, F.element_at("chain", 1) == F.col("called"), "left_semi")
+        ends = level.filter("meets").unionByName(level.filter("not meets").join(heads, F.element_at("chain", 1) == F.col("called"), "left_anti"))
+        if done is None:
+            done = Levels(cut(ends))
+        else:
+            done.add(cut(ends))
+        longer = open_.join(calls, F.element_at("chain", 1) == F.col("target"))
+        level = cut(longer.select("node", F.concat(F.array("source"), "chain").alias("chain"), F.array_contains("chain", F.col("source")).alias("meets")))
+        if level.isEmpty():
+            break
+    else:
+        raise RuntimeError("chains did not end")
+    rank = F.max(F.struct(F.size("chain").alias("n"), F.col("chain").alias("chain"), "meets"))
+    best = done.rows().groupBy("node", F.element_at("chain", 1).alias("root"), "meets").agg(rank.alias("b"))
+    top = best.groupBy("node").agg(F.max("b").alias("top"))
+    kept = best.join(top, "node").filter(~F.col("meets") | (F.col("b") == F.col("top")))
+    kept = kept.groupBy("node", "root").agg(F.max("b").alias("b"))
+    return kept.select("node", "root", F.col("b.chain").alias("chain"))
 
 
 def joined(chain: Column) -> Column:

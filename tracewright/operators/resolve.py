@@ -129,17 +129,16 @@ def tiered_match(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 def locate(wanted: DataFrame, index: DataFrame, known: DataFrame) -> DataFrame:
     """``wanted(want_id, key, schema)``, ``index(database, schema, key)`` of indexed and ``known(database)`` of all databases.
 
-    -> ``(want_id, database, state)``: matched, or unindexed for a database without an index. A schema that no entry
-    of the name has falls back to every entry of it.
+    -> ``(want_id, database, state)``: matched, or once for each database without an index, with no ``want_id`` as it
+    holds for every question, unindexed. A schema that no entry of the name has falls back to every entry of it.
     """
     entries = index.select("database", "key", F.col("schema").alias("held")).distinct()
     joined = wanted.join(entries, "key").withColumn("exact", (F.col("schema") == "") | (F.col("held") == F.col("schema")))
     any_exact = F.max("exact").over(W.partitionBy("want_id"))
     matched = joined.withColumn("some", any_exact).filter("exact or not some").select("want_id", "database").distinct().withColumn("state", F.lit("matched"))
     missing = known.select("database").distinct().join(index.select("database").distinct(), "database", "left_anti")
-    # databases without an index are few, and every question has to name each of them
-    open_ = wanted.select("want_id").withColumn("one", F.lit(1)).join(F.broadcast(missing.withColumn("one", F.lit(1))), "one").select("want_id", "database", F.lit("unindexed").alias("state"))
-    return matched.unionByName(open_)
+    nobody = F.lit(None).cast(wanted.schema["want_id"].dataType).alias("want_id")
+    return matched.unionByName(missing.select(nobody, "database", F.lit("unindexed").alias("state")))
 
 
 def strongest_source(rows: DataFrame, keys: list[str], source: str = "schema_source") -> DataFrame:

@@ -16,6 +16,8 @@ FACTS: dict[str, str] = {
         concat('db', p_size % 4) AS database_name, p_brand AS brand, p_name AS word FROM {part}""",
     "call": """SELECT p_partkey AS source, (p_partkey * 7 + 3) % n AS target FROM {part}, (SELECT count(*) AS n FROM {part}) c WHERE p_partkey % 3 <> 0
         UNION ALL SELECT p_partkey AS source, (p_partkey * 5 + 1) % n AS target FROM {part}, (SELECT count(*) AS n FROM {part}) c WHERE p_partkey % 8 = 0""",
+    "method_call": """SELECT p_partkey AS source, CAST(floor(p_partkey / 2) AS BIGINT) AS target FROM {part} WHERE p_partkey > 0
+        UNION ALL SELECT p_partkey AS source, CAST(floor(p_partkey / 3) AS BIGINT) AS target FROM {part} WHERE p_partkey > 0 AND p_partkey % 7 = 0""",
     "operation": """SELECT l_partkey AS module_no, l_orderkey * 10 + l_linenumber AS operation_no,
         CASE WHEN l_returnflag = 'R' THEN 'DELETE' WHEN l_returnflag = 'A' THEN 'UPDATE' WHEN l_linestatus = 'O' THEN 'INSERT' ELSE 'SELECT' END AS operation_type,
         concat('t_', l_suppkey) AS target, l_suppkey % 5 = 0 AS dynamic_sql FROM {lineitem}""",

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracewright.functions import lexing, pages, tsql
-from tracewright.operators import answers, evidence
+from tracewright.operators import answers, build, evidence
 from tracewright.sources import catalog, config
 
-from .lineage import _EDGE, _PATHS, _calls, _records
+from .lineage import _EDGE, _PATHS, _methods, _records
 from .registry import query
 
 _OPS = "o AS (SELECT DISTINCT module_no, operation_no, operation_type, target FROM operation)"
@@ -36,6 +36,48 @@ def tsql_operations(t):
     )
 
 
+_BUILT = """o AS (SELECT DISTINCT module_no, operation_no, operation_type, target FROM operation), l AS (SELECT module_no, name, CASE WHEN schema_name = '' THEN 'dbo' ELSE schema_name END AS s FROM module),
+ st AS (SELECT l.module_no, l.s, 'stored_procedure:' || l.s || '.' || l.name AS module_id, o.*, row_number() OVER (PARTITION BY l.module_no ORDER BY operation_no, operation_type, o.target) + (SELECT count(*) FROM call c WHERE c.source = l.module_no) AS seq FROM l JOIN o ON o.module_no = l.module_no),
+ ac AS (SELECT 'dml_operation:' || module_id || ':' || seq AS op, module_id, s, operation_type, operation_no % 4 AS form, CAST(substr(target, 3) AS BIGINT) AS no, target FROM st),
+ tg AS (SELECT *, CASE WHEN form = 0 THEN 'dbo' WHEN form = 1 THEN 'dbo' WHEN form = 2 THEN 'hr' ELSE '' END AS schema, CASE WHEN form = 1 AND s = 'dbo' THEN 'module_schema' WHEN form = 1 THEN 'default_schema' WHEN form = 3 THEN 'unresolved' ELSE 'written' END AS source FROM ac),
+ ta AS (SELECT *, CASE WHEN schema = 'dbo' AND no % 5 = 0 THEN 'view:' ELSE 'table:' END || schema || '.' || target AS node FROM tg),
+ ca AS (SELECT DISTINCT m.s, 'stored_procedure:' || m.s || '.' || m.name AS module_id, c.target, k.s AS held, 'usp_' || c.target AS called FROM call c JOIN l m ON m.module_no = c.source LEFT JOIN l k ON k.module_no = c.target),
+ cb AS (SELECT *, CASE WHEN held = s THEN 'module_schema' WHEN held = 'dbo' THEN 'default_schema' ELSE 'unresolved' END AS source FROM ca)"""
+
+
+@query(f"""WITH {_BUILT} SELECT 'contains' AS type, module_id AS source, op AS target, '' AS schema_source, '' AS database FROM ta
+UNION ALL SELECT CASE WHEN operation_type = 'SELECT' THEN 'reads' ELSE 'writes' END, op, node, source, CASE WHEN form = 3 THEN 'other' ELSE '' END FROM ta
+UNION ALL SELECT DISTINCT 'uses', module_id, node, source, CASE WHEN form = 3 THEN 'other' ELSE '' END FROM ta WHERE operation_type = 'SELECT' AND node LIKE 'view%'
+UNION ALL SELECT 'calls', module_id, 'stored_procedure:' || CASE source WHEN 'module_schema' THEN s WHEN 'default_schema' THEN 'dbo' ELSE '' END || '.' || called, source, '' FROM cb""", "module", "call", "operation")
+def graph_edges(t):
+    """Relationships of a graph built from the text of every module."""
+    return _built(t).edges.select("type", "source", "target", "schema_source", "database").distinct()
+
+
+@query(f"""WITH {_BUILT} SELECT node_id, type FROM (SELECT 'stored_procedure:' || s || '.' || name AS node_id, 'stored_procedure' AS type FROM l UNION SELECT CASE WHEN s_suppkey % 5 = 0 THEN 'view' ELSE 'table' END || ':dbo.t_' || s_suppkey, CASE WHEN s_suppkey % 5 = 0 THEN 'view' ELSE 'table' END FROM supplier
+ UNION SELECT op, 'dml_operation' FROM ta UNION SELECT node, 'table' FROM ta WHERE node LIKE 'table%')""", "module", "call", "operation")
+def graph_nodes(t):
+    """G1: nodes of that graph, with tables that nobody listed."""
+    return _built(t).nodes.select("node_id", "type")
+
+
+def _built(t):
+    """Procedures rendered from the calls and operations, tables and views from the suppliers, as one database's graph."""
+    k, n, form = F.col("operation_type"), F.col("operation_no").cast("string"), F.col("operation_no") % 4
+    name = F.when(form == 0, F.concat(F.lit("[dbo].["), "target", F.lit("]"))).when(form == 1, F.col("target")).when(form == 2, F.concat(F.lit("hr."), "target")).otherwise(F.concat(F.lit("other.."), "target"))
+    s = (
+        F.when(k == "SELECT", F.concat(F.lit("SELECT * FROM "), name, F.lit(" AS x WHERE k = "), n)).when(k == "INSERT", F.concat(F.lit("INSERT INTO "), name, F.lit(" (a) VALUES ("), n, F.lit(")")))
+        .when(k == "UPDATE", F.concat(F.lit("UPDATE "), name, F.lit(" SET a = 1 WHERE k = "), n)).otherwise(F.concat(F.lit("DELETE FROM "), name, F.lit(" WHERE k = "), n))
+    )
+    ops = t("operation").select("module_no", "operation_no", "operation_type", "target").distinct().groupBy("module_no").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("operation_no", "operation_type", "target", s.alias("s")))), lambda x: x["s"]), ";\n").alias("body"))
+    calls = t("call").groupBy(F.col("source").alias("module_no")).agg(F.array_join(F.transform(F.sort_array(F.collect_list("target")), lambda c: F.concat(F.lit("EXEC usp_"), c.cast("string"))), ";\n").alias("calls"))
+    modules = t("module").join(calls, "module_no", "left").join(ops, "module_no", "left")
+    text = F.concat(F.lit("CREATE PROCEDURE p AS BEGIN "), F.coalesce(F.concat("calls", F.lit(";\n")), F.lit("")), F.coalesce("body", F.lit("")), F.lit(" END"))
+    procedures = modules.select(F.lit("stored_procedure").alias("type"), F.col("schema_name").alias("schema"), "name", text.alias("definition"))
+    suppliers = t("supplier").select(F.when(F.col("s_suppkey") % 5 == 0, "view").otherwise("table").alias("type"), F.lit("dbo").alias("schema"), F.concat(F.lit("t_"), "s_suppkey").alias("name"), F.lit(None).cast("string").alias("definition"))
+    return build.build(procedures.unionByName(suppliers), "main")
+
+
 @query("SELECT s_suppkey, 'srv' || s_nationkey AS server, CASE WHEN s_suppkey % 2 = 0 THEN 'db=' || s_suppkey ELSE '' END AS database FROM supplier")
 def connection_strings(t):
     """Server and database of connection strings."""
@@ -119,27 +161,29 @@ def branch_compatibility(t):
     return t("invocation").select("invocation_no", evidence.branch_compatible(a, b).alias("compatible"))
 
 
-@query(f"""WITH RECURSIVE {_EDGE}, r AS (SELECT module_no AS origin, module_no AS node, 0 AS depth FROM module WHERE module_no % 200 = 0 UNION SELECT r.origin, e.target, r.depth + 1 FROM r JOIN e ON e.source = r.node WHERE r.depth < 40),
- m AS (SELECT origin, node, min(depth) AS depth FROM r GROUP BY 1, 2) SELECT origin, node, CAST(depth AS INTEGER) AS depth, target, operation_type FROM m JOIN (SELECT DISTINCT module_no, target, operation_type FROM operation) o ON o.module_no = m.node""", "module", "call", "operation")
+@query(f"""WITH RECURSIVE {_EDGE}, r AS (SELECT module_no AS origin, module_no AS node, 0 AS depth FROM module UNION SELECT r.origin, e.target, r.depth + 1 FROM r JOIN e ON e.source = r.node),
+ m AS (SELECT origin, node, min(depth) AS depth FROM r GROUP BY 1, 2), o AS (SELECT module_no, count(DISTINCT (target, operation_type)) AS touched FROM operation GROUP BY 1)
+SELECT origin, node, CAST(depth AS INTEGER) AS depth, touched FROM m JOIN o ON o.module_no = m.node""", "module", "method_call", "operation")
 def flow_forward(t):
     """What an entry reaches and touches."""
     ops = t("operation").withColumnRenamed("module_no", "module")
-    return answers.flow_forward(t("module").filter("module_no % 200 = 0").select(F.col("module_no").alias("node")), _calls(t).filter("source % 4 <> 1"), ops)
+    found = answers.flow_forward(t("module").select(F.col("module_no").alias("node")), _methods(t), ops)
+    return found.groupBy("origin", "node", "depth").agg(F.count("*").alias("touched"))
 
 
-@query(f"""WITH RECURSIVE {_EDGE}, r AS (SELECT DISTINCT module_no AS origin, module_no AS node, 0 AS depth FROM operation WHERE target = 't_3' AND module_no % 20 = 0 UNION SELECT r.origin, e.source, r.depth + 1 FROM r JOIN e ON e.target = r.node WHERE r.depth < 40),
- m AS (SELECT origin, node, min(depth) AS depth FROM r GROUP BY 1, 2) SELECT 'page' || (node % 50) AS screen, CAST(min(depth) AS INTEGER) AS depth, count(DISTINCT origin) AS touching FROM m GROUP BY 1""", "call", "operation")
+@query(f"""WITH RECURSIVE {_EDGE}, r AS (SELECT DISTINCT module_no AS origin, module_no AS node, 0 AS depth FROM operation WHERE target = 't_3' UNION SELECT r.origin, e.source, r.depth + 1 FROM r JOIN e ON e.target = r.node),
+ m AS (SELECT origin, node, min(depth) AS depth FROM r GROUP BY 1, 2) SELECT 'page' || (node % 50) AS screen, CAST(min(depth) AS INTEGER) AS depth, count(DISTINCT origin) AS touching FROM m GROUP BY 1""", "method_call", "operation")
 def flow_backward(t):
     """Screens from which a table is reached."""
-    ops = t("operation").filter("module_no % 20 = 0").withColumnRenamed("module_no", "module")
+    ops = t("operation").withColumnRenamed("module_no", "module")
     screens = t("module").select(F.concat(F.lit("page"), F.col("module_no") % 50).alias("screen"), F.col("module_no").alias("node"))
-    return answers.flow_backward("T_3", ops, _calls(t).filter("source % 4 <> 1"), screens)
+    return answers.flow_backward("T_3", ops, _methods(t), screens)
 
 
-@query(f"""WITH RECURSIVE {_PATHS}, g AS (SELECT DISTINCT file FROM invocation WHERE cust % 10 = 3), i AS (SELECT file, count(*) AS invocations, count(*) FILTER (status = 'F') AS proven FROM invocation WHERE cust % 10 = 3 GROUP BY 1),
+@query(f"""WITH RECURSIVE {_PATHS}, g AS (SELECT DISTINCT file FROM invocation), i AS (SELECT file, count(*) AS invocations, count(*) FILTER (status = 'F') AS proven FROM invocation GROUP BY 1),
  pp AS (SELECT file, count(*) AS paths, count(DISTINCT CASE WHEN operation_type IN ('INSERT', 'UPDATE', 'DELETE', 'MERGE') THEN target END) AS written_tables FROM r GROUP BY 1)
 SELECT g.file, coalesce(invocations, 0) AS invocations, coalesce(proven, 0) AS proven, coalesce(paths, 0) AS paths, coalesce(written_tables, 0) AS written_tables FROM g LEFT JOIN i USING (file) LEFT JOIN pp USING (file)""", "module", "call", "operation", "invocation")
 def analyze_programs(t):
     """API analyze: facts of each program."""
     i = t("invocation").withColumn("evidence", F.when(F.col("status") == "F", "proven").otherwise("unresolved"))
-    return answers.analyze(i.filter("cust % 10 = 3").select("file").distinct(), i, _records(t))
+    return answers.analyze(i.select("file").distinct(), i, _records(t))

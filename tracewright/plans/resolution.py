@@ -73,14 +73,14 @@ def resolve_schema(t):
 
 
 @query("""WITH i AS (SELECT invocation_no AS invocation_id, word AS key, CASE WHEN invocation_no % 2 = 0 THEN 'hr' ELSE '' END AS schema FROM invocation JOIN module USING (module_no)),
- n AS (SELECT module_no AS node_id, word AS key, schema_name AS schema FROM module WHERE module_no % 25 = 0),
+ n AS (SELECT module_no AS node_id, word AS key, schema_name AS schema FROM module),
  j AS (SELECT i.invocation_id, count(n.node_id) AS n, min(n.node_id) AS least FROM i LEFT JOIN n ON i.key = n.key AND (i.schema = '' OR n.schema = '' OR i.schema = n.schema) GROUP BY 1)
 SELECT invocation_id, CASE WHEN n = 1 THEN least END AS node_id, n, CASE WHEN n = 0 THEN 'stored_procedure_not_in_graph' WHEN n > 1 THEN 'ambiguous_stored_procedure_graph_target' ELSE '' END AS reason FROM j""", "invocation", "module")
 def match_procedure(t):
     """Invocations and the one procedure node they name."""
     m = t("module")
     i = t("invocation").join(m.select("module_no", "word"), "module_no").select(F.col("invocation_no").alias("invocation_id"), F.col("word").alias("key"), F.when(F.col("invocation_no") % 2 == 0, "hr").otherwise("").alias("schema"))
-    nodes = m.filter("module_no % 25 = 0").select(F.col("module_no").alias("node_id"), F.col("word").alias("key"), F.col("schema_name").alias("schema"))
+    nodes = m.select(F.col("module_no").alias("node_id"), F.col("word").alias("key"), F.col("schema_name").alias("schema"))
     return resolve.match_procedure(i, nodes)
 
 
@@ -148,26 +148,26 @@ def shared_component(t):
     return resolve.tiered_match(t("customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("key")), t("supplier").select(F.col("s_nationkey").alias("key"), (F.col("s_suppkey") % 3).alias("tier"), F.col("s_name").alias("target")), "key")
 
 
-@query("""WITH ctl AS (SELECT word AS name, module_no FROM module WHERE module_no % 40 < 2), u AS (SELECT name, min(module_no) AS module_no FROM ctl GROUP BY name HAVING count(DISTINCT module_no) = 1)
+@query("""WITH ctl AS (SELECT word AS name, module_no FROM module), u AS (SELECT name, min(module_no) AS module_no FROM ctl GROUP BY name HAVING count(DISTINCT module_no) = 1)
 SELECT i.invocation_no, u.module_no AS controller FROM invocation i JOIN module m ON m.module_no = i.module_no LEFT JOIN u ON u.name = m.word""", "module", "invocation")
 def view_controller(t):
     """The controller of a view, if its name is declared once."""
     m = t("module")
     views = t("invocation").join(m.select("module_no", F.col("word").alias("name")), "module_no").select("invocation_no", "name")
-    return resolve.unique_match(views, m.filter("module_no % 40 < 2").select(F.col("word").alias("name"), F.col("module_no").alias("controller")), ["name"], "controller").drop("name")
+    return resolve.unique_match(views, m.select(F.col("word").alias("name"), F.col("module_no").alias("controller")), ["name"], "controller").drop("name")
 
 
 @query("""WITH w AS (SELECT c_custkey AS want_id, m.word AS key, CASE WHEN c_custkey % 3 = 0 THEN 'hr' WHEN c_custkey % 3 = 1 THEN 'zz' ELSE '' END AS schema FROM customer JOIN module m ON m.module_no = c_custkey),
- ix AS (SELECT DISTINCT database_name AS database, word AS key, schema_name AS schema FROM module WHERE database_name <> 'db3' AND module_no % 9 = 0),
+ ix AS (SELECT DISTINCT database_name AS database, word AS key, schema_name AS schema FROM module WHERE database_name <> 'db3'),
  j AS (SELECT want_id, database, w.schema = '' OR ix.schema = w.schema AS exact FROM w JOIN ix USING (key)), s AS (SELECT *, max(exact) OVER (PARTITION BY want_id) AS any_exact FROM j)
 SELECT DISTINCT want_id, database, 'matched' AS state FROM s WHERE exact OR NOT any_exact
-UNION ALL SELECT want_id, d.database_name, 'unindexed' FROM w, (SELECT DISTINCT database_name FROM module WHERE database_name NOT IN (SELECT database FROM ix)) d""", "module")
+UNION ALL SELECT DISTINCT CAST(NULL AS BIGINT), database_name, 'unindexed' FROM module WHERE database_name NOT IN (SELECT database FROM ix)""", "module")
 def locate_object(t):
     """Databases that hold an object, and those that nobody indexed."""
     m = t("module")
     c = t("customer").join(m, F.col("c_custkey") == F.col("module_no"))
     wanted = c.select(F.col("c_custkey").alias("want_id"), F.col("word").alias("key"), F.when(F.col("c_custkey") % 3 == 0, "hr").when(F.col("c_custkey") % 3 == 1, "zz").otherwise("").alias("schema"))
-    index = m.filter("database_name <> 'db3' and module_no % 9 = 0").select(F.col("database_name").alias("database"), F.col("word").alias("key"), F.col("schema_name").alias("schema"))
+    index = m.filter("database_name <> 'db3'").select(F.col("database_name").alias("database"), F.col("word").alias("key"), F.col("schema_name").alias("schema"))
     return resolve.locate(wanted, index, m.select(F.col("database_name").alias("database")))
 
 

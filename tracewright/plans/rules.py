@@ -71,11 +71,11 @@ def event_handlers(t):
     return access.handled_events(m, c).select("method_no")
 
 
-@query("""SELECT 'v' || doc_id AS name, md5(substr(text, 1, 8000)) AS digest FROM documents WHERE doc_id % 3 = 0""")
+@query("""SELECT 'v' || doc_id AS name, md5(substr(text, 1, 8000)) AS digest FROM documents""")
 def view_definitions(t):
     """Definitions of views among the tables used, cut at 8000 characters."""
     d = t("documents").select(F.concat(F.lit("v"), "doc_id").alias("name"), F.col("text").alias("definition"), "doc_id")
-    return access.view_texts(d.filter("doc_id % 3 = 0").select("name"), d.select("name", "definition")).select("name", F.md5(F.col("definition").cast("binary")).alias("digest"))
+    return access.view_texts(d.select("name"), d.select("name", "definition")).select("name", F.md5(F.col("definition").cast("binary")).alias("digest"))
 
 
 @query("""WITH c AS (SELECT 'Nation_' || n_nationkey AS controller FROM nation UNION ALL SELECT 'Nation_' || r_regionkey FROM region), o AS (SELECT controller FROM c GROUP BY 1 HAVING count(*) = 1)
@@ -103,7 +103,7 @@ def nearest_reason(t):
     return access.nearest_reason(uses, t("part").filter("p_partkey % 4 = 0").select((F.col("p_partkey") % 30).alias("file"), F.col("p_partkey").alias("line"), F.col("p_name").alias("reason")))
 
 
-@query("""WITH s AS (SELECT c_custkey AS site, c_nationkey % 3 AS origin, CASE c_custkey % 4 WHEN 0 THEN 'a' WHEN 1 THEN 'a/b' || c_custkey % 40 WHEN 2 THEN 'a/b' || c_custkey % 40 || '/c' ELSE 'z' || c_custkey END AS path FROM customer WHERE c_custkey < 200),
+@query("""WITH s AS (SELECT c_custkey AS site, c_nationkey % 3 AS origin, CASE c_custkey % 4 WHEN 0 THEN 'a' WHEN 1 THEN 'a/b' || c_custkey % 40 WHEN 2 THEN 'a/b' || c_custkey % 40 || '/c' ELSE 'z' || c_custkey END AS path FROM customer),
  j AS (SELECT s.site, p.site AS parent, length(p.path) AS l, max(length(p.path)) OVER (PARTITION BY s.site) AS m FROM s JOIN s p ON p.origin = s.origin AND starts_with(s.path, p.path || '/')),
  b AS (SELECT site, count(DISTINCT parent) AS n, min(parent) AS parent FROM j WHERE l = m GROUP BY 1) SELECT s.site, CASE WHEN n = 1 THEN parent END AS parent, CASE WHEN n > 1 THEN 'ambiguous' WHEN n = 1 THEN '' ELSE 'root' END AS reason FROM s LEFT JOIN b USING (site)""")
 def parent_applications(t):
@@ -111,17 +111,17 @@ def parent_applications(t):
     c, k = F.col("c_custkey"), F.col("c_custkey") % 4
     b = F.concat(F.lit("a/b"), c % 40)
     path = F.when(k == 0, "a").when(k == 1, b).when(k == 2, F.concat(b, F.lit("/c"))).otherwise(F.concat(F.lit("z"), c))
-    return access.parent_application(t("customer").filter("c_custkey < 200").select(c.alias("site"), (F.col("c_nationkey") % 3).alias("origin"), path.alias("path")))
+    return access.parent_application(t("customer").select(c.alias("site"), (F.col("c_nationkey") % 3).alias("origin"), path.alias("path")))
 
 
-@query("""WITH o AS (SELECT lower(p_name) AS name, p_partkey AS identity, p_size % 3 AS required, p_size % 5 AS declared FROM part WHERE p_partkey < 60), c AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 10 = 9 THEN 'none' ELSE p_name END AS name, c_custkey % 5 AS n FROM customer JOIN part ON p_partkey = c_custkey % 200),
+@query("""WITH o AS (SELECT lower(p_name) AS name, p_partkey AS identity, p_size % 3 AS required, p_size % 5 AS declared FROM part), c AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 10 = 9 THEN 'none' ELSE p_name END AS name, c_custkey % 5 AS n FROM customer JOIN part ON p_partkey = c_custkey % 200),
  f AS (SELECT c.id, o.name IS NOT NULL AS named, o.identity, CASE WHEN declared = n THEN 0 WHEN required <= n AND n < declared THEN 1 END AS fit FROM c LEFT JOIN o ON o.name = lower(c.name)), g AS (SELECT *, min(fit) OVER (PARTITION BY id) AS best FROM f),
  h AS (SELECT id, bool_or(named) AS named, count(*) FILTER (fit = best) AS n, min(identity) FILTER (fit = best) AS identity FROM g GROUP BY 1)
 SELECT id AS call_id, CASE WHEN n = 1 THEN identity END AS identity, CASE WHEN NOT named THEN 'unresolved_method' WHEN n = 0 THEN 'no_matching_overload' WHEN n > 1 THEN 'ambiguous_overload' ELSE '' END AS reason FROM h""")
 def overloads(t):
     """The overload that a call selects."""
     p, c = t("part"), F.col("c_custkey")
-    ops = p.filter("p_partkey < 60").select(F.col("p_name").alias("name"), F.col("p_partkey").alias("identity"), (F.col("p_size") % 3).alias("required"), (F.col("p_size") % 5).alias("declared"))
+    ops = p.select(F.col("p_name").alias("name"), F.col("p_partkey").alias("identity"), (F.col("p_size") % 3).alias("required"), (F.col("p_size") % 5).alias("declared"))
     calls = t("customer").join(p, F.col("p_partkey") == c % 200).select(c.alias("call_id"), F.when(c % 10 == 9, "none").otherwise(F.upper("p_name")).alias("name"), (c % 5).alias("n_args"))
     return access.select_overload(calls, ops)
 
@@ -183,22 +183,23 @@ def ordered_unique(t):
     return t("lineitem").groupBy("l_orderkey").agg(F.array_join(F.array_distinct(F.filter(items, lambda x: x != "")), ",").alias("items"))
 
 
-@query("""SELECT module_no, module_no % 2 = 0 AS dynamic_sql, module_no % 3 = 0 AS temp_table, module_no % 5 = 0 AS cursor, module_no % 7 = 0 AS transaction, module_no % 11 < 6 AS receiver FROM module""", "module")
+@query("""SELECT module_no, module_no % 2 = 0 OR module_no % 9 = 1 AS dynamic_sql, module_no % 3 = 0 AS temp_table, module_no % 5 = 0 AS cursor, module_no % 7 = 0 AS transaction, module_no % 11 < 6 AS receiver FROM module""", "module")
 def module_flags(t):
     """What a definition contains, and types that can hold a connection."""
     m = F.col("module_no")
     part = lambda k, text: F.when(m % k == 0, text).otherwise("")
-    text = F.concat_ws("\n", F.lit("SELECT 1"), part(2, "EXEC (@s)"), part(3, "SELECT a INTO #t FROM b"), part(5, "declare c CURSOR FOR SELECT 1"), part(7, "BEGIN TRAN"))
+    text = F.concat_ws("\n", F.lit("SELECT 1; EXEC ('literal')"), part(2, "EXEC (@s)"), F.when(m % 9 == 1, "EXECUTE sp_executesql N'x'").otherwise(""), part(3, "SELECT a INTO #t FROM b"), part(5, "declare c CURSOR FOR SELECT 1"), part(7, "BEGIN TRAN"))
     kind = F.when(m % 11 == 0, "SqlConnection").when(m % 11 == 1, "AppDbContext").when(m % 11 == 2, "IDbConnection").when(m % 11 == 3, "OrderRepository").when(m % 11 < 6, "DapperContext").otherwise("StringBuilder")
     return t("module").select("module_no", X.flags(text).alias("f"), X.receiver_signal(kind).alias("receiver")).select("module_no", "f.dynamic_sql", "f.temp_table", "f.cursor", "f.transaction", "receiver")
 
 
-@query("""WITH RECURSIVE e AS (SELECT c_custkey AS source, (c_custkey * 3 + 1) % 150 AS target FROM customer WHERE c_custkey < 150 AND c_custkey % 4 <> 0), r AS (SELECT c_custkey AS origin, c_custkey AS node FROM customer WHERE c_custkey < 20 UNION SELECT r.origin, e.target FROM r JOIN e ON e.source = r.node) SELECT origin, node FROM r""")
+@query("""WITH RECURSIVE e AS (SELECT c_custkey AS source, CAST(floor(c_custkey / 2) AS BIGINT) AS target FROM customer UNION ALL SELECT c_custkey, c_custkey + 1 FROM customer WHERE c_custkey % 10 = 0),
+ r AS (SELECT c_custkey AS origin, c_custkey AS node FROM customer UNION SELECT r.origin, e.target FROM r JOIN e ON e.source = r.node) SELECT origin, node FROM r""")
 def shared_components(t):
-    """Partial views that a view holds, each once."""
+    """Partial views that a view holds, each once; some hold each other."""
     c = F.col("c_custkey")
-    edges = t("customer").filter("c_custkey < 150 and c_custkey % 4 <> 0").select(c.alias("source"), ((c * 3 + 1) % 150).alias("target"))
-    return graph.reach(t("customer").filter("c_custkey < 20").select(c.alias("origin"), c.alias("node")), edges).select("origin", "node")
+    edges = t("customer").select(c.alias("source"), F.floor(c / 2).cast("long").alias("target")).union(t("customer").filter(c % 10 == 0).select(c, c + 1))
+    return graph.reach(t("customer").select(c.alias("origin"), c.alias("node")), edges).select("origin", "node")
 
 
 @query("""SELECT o_orderkey AS access_id, 's' || s_suppkey AS base, 'READ_INDIRECT' AS access_type FROM orders JOIN supplier ON s_nationkey = o_custkey % 40""")

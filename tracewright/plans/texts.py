@@ -47,10 +47,10 @@ def snippets(t):
     return t("documents").select("doc_id", F.size(s).cast("long").alias("n"), F.md5(F.array_join(s, "\n").cast("binary")).alias("digest"))
 
 
-@query("SELECT doc_id, regexp_matches(text, '(?i)(^|[^\\w])the([^\\w]|$)') AS hit FROM documents WHERE lang = 'en'")
+@query("SELECT doc_id, regexp_matches(text, '(?i)(^|[^\\p{L}\\p{M}\\p{N}_])the([^\\p{L}\\p{M}\\p{N}_]|$)') AS hit FROM documents")
 def column_match(t):
     """A column's name as a whole word."""
-    return t("documents").filter("lang = 'en'").select("doc_id", X.column_match("the", F.col("text")).alias("hit"))
+    return t("documents").select("doc_id", X.column_match("the", F.col("text")).alias("hit"))
 
 
 _SQL = """SELECT l_orderkey * 10 + l_linenumber AS id, CASE l_suppkey % 6 WHEN 0 THEN 'SELECT a FROM dbo.t' || l_partkey % 9 || ' JOIN [hr].[u] ON 1=1' WHEN 1 THEN 'insert into x.dbo.t' || l_partkey % 9 || ' (a) values (1)' WHEN 2 THEN ' UPDATE t' || l_partkey % 9 || ' SET a = 1'
@@ -75,10 +75,34 @@ def classify_statements(t):
     return _statements(t).select("id", X.sql_type(s).alias("type"), X.kept_statement(s).alias("kept"), X.clean_sql(s).alias("cleaned"), X.leading_keyword(s).alias("keyword"), X.procedure_hint(s).alias("hint"))
 
 
-@query(f"""WITH s AS ({_SQL}) SELECT id, CASE WHEN sql LIKE 'SELECT%' THEN regexp_extract(sql, '(dbo\\.t\\d)', 1) || ',hr.u' WHEN sql LIKE 'insert%' THEN regexp_extract(sql, '(x\\.dbo\\.t\\d)', 1) WHEN sql LIKE 'WITH%' THEN 'c' WHEN sql LIKE 'usp%' THEN '' ELSE regexp_extract(sql, '(t\\d)', 1) END AS tables FROM s""")
+#: Statements and the tables that they name.
+_TABLES = (
+    ("SELECT a FROM dbo.t1 JOIN [hr].[u2] ON 1=1", "dbo.t1,hr.u2"),
+    ("insert into x.dbo.T1(a, b) values (1)", "x.dbo.T1"),
+    (" UPDATE t1 SET a = 1", "t1"),
+    ("DELETE FROM t1 -- FROM gone", "t1"),
+    ("WITH c AS (SELECT 1) SELECT * FROM c", ""),
+    ("SELECT u.Id FROM PUR..Users u JOIN srv.PUR.dbo.Rows r ON 1=1", "PUR..Users,srv.PUR.dbo.Rows"),
+    ("SELECT * FROM [Order Details] /* JOIN none */ d JOIN #t ON 1=1", "Order Details"),
+    ("MERGE INTO dbo.t1 USING s2 ON 1=1 WHEN MATCHED THEN UPDATE SET a = 1", "dbo.t1,s2"),
+    ("SELECT q.Id FROM OPENQUERY (LNK, 'x') q JOIN OPENJSON(@json) j ON 1=1", ""),
+    ("usp_7", ""),
+)
+
+
+@query(f"""SELECT l_orderkey * 10 + l_linenumber AS id, CASE l_partkey % {len(_TABLES)} {" ".join(f"WHEN {i} THEN '{found}'" for i, (_, found) in enumerate(_TABLES))} END AS tables FROM lineitem""")
 def statement_tables(t):
-    """tables that a statement names."""
-    return _statements(t).select("id", F.array_join(X.tables(F.col("sql")), ",").alias("tables"))
+    """tables that a statement names."""
+    sql = F.element_at(F.array(*[F.lit(text) for text, _ in _TABLES]), (F.col("l_partkey") % len(_TABLES) + 1).cast("int"))
+    return t("lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.array_join(X.tables(sql), ",").alias("tables"))
+
+
+@query("""SELECT module_no, 'dbo.base' || module_no || ',hr.u' || (CASE WHEN module_no % 2 = 0 THEN ',log' || module_no ELSE '' END) AS tables FROM module""", "module")
+def quick_tables(t):
+    """tables of a module's body at a quick look."""
+    m = F.col("module_no").cast("string")
+    body = F.concat(F.lit("SELECT * FROM [dbo].[base"), m, F.lit("] b /* FROM no */ JOIN hr.u ON 1=1 -- JOIN none\nJOIN (SELECT 1) x ON 1=1 JOIN #t ON 1=1\n"), F.when(F.col("module_no") % 2 == 0, F.concat(F.lit("update log"), m, F.lit(" SET a = 1"))).otherwise("DELETE x"))
+    return t("module").select("module_no", F.array_join(X.quick_tables(body), ",").alias("tables"))
 
 
 @query("SELECT module_no, name, length(trim(name)) >= 3 AND (name LIKE 'usp_1%' OR name LIKE 'usp_2%') AS valid, CASE module_no % 4 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN true ELSE false END AS is_write FROM module", "module")
@@ -97,10 +121,10 @@ def file_search(t):
     return t("customer").select("c_custkey", X.file_category(path).alias("category"), X.program_match(F.col("c_name"), "00001").alias("hit"))
 
 
-@query("""WITH w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '(\\w+)\\]?\\s*\\(', 1)) AS key FROM documents WHERE lang = 'en') SELECT DISTINCT w.doc_id AS id, m.name AS name FROM w JOIN (SELECT DISTINCT word AS name FROM module) m ON lower(m.name) = w.key""", "module")
+@query("""WITH w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '([\\p{L}\\p{M}\\p{N}_]+)\\]?\\s*\\(', 1)) AS key FROM documents) SELECT DISTINCT w.doc_id AS id, m.name AS name FROM w JOIN (SELECT DISTINCT word AS name FROM module) m ON lower(m.name) = w.key""", "module")
 def functions_called(t):
     """Names that stand before a parenthesis."""
-    return resolve.names_called_in(t("documents").filter("lang = 'en'").select(F.col("doc_id").alias("id"), "text"), t("module").select(F.col("word").alias("name")).distinct())
+    return resolve.names_called_in(t("documents").select(F.col("doc_id").alias("id"), "text"), t("module").select(F.col("word").alias("name")).distinct())
 
 
 @query("SELECT p_partkey, lower(replace(p_name, ' ', '')) AS key FROM part")
