@@ -153,3 +153,26 @@ def embedded_target(text: Column) -> Column:
     called = F.regexp_extract(bare, r"(?i)\bEXEC(?:UTE)?\s+(?!AS\b)(?:@\w+\s*=\s*)?((?:\[[^\]]+\]|\w+)(?:\.(?:\[[^\]]+\]|\w+)?){0,3})", 1)
     alone = F.regexp_extract(bare, r"^\s*((?:\[[^\]]+\]|\w+)(?:\.(?:\[[^\]]+\]|\w+)?){0,3})\s*$", 1)
     return F.when(called != "", called).otherwise(alone)
+
+
+def database_of_key(lookups: DataFrame, table: DataFrame) -> DataFrame:
+    """``lookups(lookup_id, key, has_table)`` against ``table(key, database)`` -> ``(lookup_id, database, reason)``.
+
+    A file without a lookup table answers the key itself; one with a table that lacks the key answers nothing.
+    """
+    joined = lookups.join(table, "key", "left")
+    database = F.when(F.col("has_table"), F.col("database")).otherwise(F.col("key"))
+    return joined.select("lookup_id", database.alias("database"), F.when(database.isNull(), "connection_key_not_found").otherwise("").alias("reason"))
+
+
+def contract_revisions(contracts: DataFrame, accepted: DataFrame) -> DataFrame:
+    """``contracts(contract, fingerprint)`` against ``accepted(contract, fingerprint, revision)`` -> ``(contract, revision, state)``.
+
+    A fingerprint that was accepted keeps its first revision; another one is the next revision of its contract, and
+    what was accepted is never changed.
+    """
+    same = accepted.groupBy("contract", "fingerprint").agg(F.min("revision").alias("held"))
+    last = accepted.groupBy("contract").agg(F.max("revision").alias("last"))
+    joined = contracts.join(same, ["contract", "fingerprint"], "left").join(last, "contract", "left")
+    state = F.when(F.col("held").isNotNull(), "reused").when(F.col("last").isNotNull(), "new_revision").otherwise("new_contract")
+    return joined.select("contract", F.coalesce("held", F.col("last") + 1, F.lit(1)).alias("revision"), state.alias("state"))

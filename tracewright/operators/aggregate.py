@@ -22,6 +22,17 @@ def database_summary(calls: DataFrame) -> DataFrame:
     return calls.groupBy("database").agg(F.countDistinct("procedure").alias("procedures"), F.countDistinct("file").alias("files"))
 
 
+def kind_counts(objects: DataFrame) -> DataFrame:
+    """``objects(database, kind)`` -> how many objects of each of the four kinds a database has."""
+    kinds = ("procedures", "views", "functions", "tables")
+    return objects.groupBy("database").agg(*[F.count_if(F.col("kind") == k).alias(k) for k in kinds])
+
+
+def procedure_list(calls: DataFrame) -> DataFrame:
+    """``calls(procedure, file)`` -> each procedure with its calls and the files that call it."""
+    return calls.groupBy("procedure").agg(F.count("*").alias("calls"), F.array_join(F.sort_array(F.collect_set("file")), ",").alias("callers"))
+
+
 def impact(calls: DataFrame) -> DataFrame:
     """calls * 2 + distinct files * 3 of each procedure."""
     agg = calls.groupBy("procedure").agg(F.count("*").alias("calls"), F.countDistinct("file").alias("files"))

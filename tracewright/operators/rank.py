@@ -25,6 +25,39 @@ def strongest_match(rows: DataFrame, identity: list[str]) -> DataFrame:
     return first_by(rows, identity, -access_rank(F.col("access_type")), F.col("is_indirect"), -F.col("via_procedure").cast("int"), F.col("ord"))
 
 
+def inline_match(rows: DataFrame) -> DataFrame:
+    """One inline match of each file: a direct read before one through a view or function, then by strength and in order."""
+    return first_by(rows, ["file"], F.col("read_through"), -access_rank(F.col("access_type")), F.col("is_indirect"), -F.col("via_procedure").cast("int"), F.col("ord"))
+
+
+def ranged(rows: DataFrame, order: list[Column], place: str = "position") -> DataFrame:
+    """``rows`` in an order over all of them, with their place from 0: dealt to ranges, which are counted and not gathered.
+
+    The columns of ``order`` have to tell all rows apart.
+    """
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    part = F.shiftrightunsigned("_at", 33)
+    sizes = dealt.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))  # a row for each range
+    starts = sizes.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_start"))
+    numbered = dealt.withColumn("_part", part).join(F.broadcast(starts), "_part")
+    return numbered.withColumn(place, F.col("_start") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_part", "_start", "_at")
+
+
+def path_order() -> list[Column]:
+    """Paths by file and span, entry, chain, operation, reason and id."""
+    return [F.col(c) for c in ("file", "start", "end", "entry_method", "chain", "operation_no", "unresolved_reason", "path_id")]
+
+
+def access_order() -> list[Column]:
+    """Accesses by entry, path and access type."""
+    return [F.col(c) for c in ("entry_method", "path_id", "access_type")]
+
+
+def first_of_each(rows: DataFrame, key: str, most: int, *order: Column) -> DataFrame:
+    """The first ``most`` rows of each key in their order of discovery, with their place from 1."""
+    return rows.withColumn("place", F.row_number().over(W.partitionBy(key).orderBy(*order))).filter(F.col("place") <= most)
+
+
 def without_outranked(inline: DataFrame, graph: DataFrame) -> DataFrame:
     """Inline matches of files in which no graph match has a higher rank."""
     best = graph.groupBy(F.col("file").alias("_file")).agg(F.max(access_rank(F.col("access_type"))).alias("_rank"))

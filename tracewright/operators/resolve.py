@@ -157,3 +157,11 @@ def names_called_in(texts: DataFrame, names: DataFrame) -> DataFrame:
 
 def key_of(column: str) -> Column:
     return F.lower(F.col(column))
+
+
+def merged_catalog(*catalogs: DataFrame) -> DataFrame:
+    """Catalogs ``(database, schema, key)`` as one; a database keeps its own names, whichever catalog they come from."""
+    every = catalogs[0].select("database", "schema", "key")
+    for c in catalogs[1:]:
+        every = every.unionByName(c.select("database", "schema", "key"))
+    return every.distinct()
