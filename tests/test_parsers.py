@@ -101,7 +101,7 @@ def test_source_scan_and_stores(spark, tmp_path):
 
 
 def test_text_functions(spark):
-    row = spark.createDataFrame([("SELECT * FROM dbo.A, x JOIN [hr].[B] b ON f(1)=1 -- c",)], "t string").select(X.tables(F.col("t")).alias("t"), X.sql_type(F.col("t")).alias("k"), X.clean_sql(F.col("t")).alias("c"), X.flags(F.lit("CREATE TABLE #a; EXEC (@s)")).alias("f")).first()
-    assert row["t"] == ["dbo.A", "hr.B"] and row["k"] == "SELECT" and row["c"].endswith("=1") and row["f"]["dynamic_sql"] and row["f"]["temp_table"] and not row["f"]["cursor"]
+    row = spark.createDataFrame([("SELECT * FROM dbo.Aa, x JOIN [hr].[Bb] b ON f(1)=1 -- c",)], "t string").select(X.tables(F.col("t")).alias("t"), X.sql_type(F.col("t")).alias("k"), X.clean_sql(F.col("t")).alias("c"), X.flags(F.lit("CREATE TABLE #a; EXEC (@s)")).alias("f")).first()
+    assert row["t"] == ["dbo.Aa", "hr.Bb"] and row["k"] == "SELECT" and row["c"].endswith("=1") and row["f"]["dynamic_sql"] and row["f"]["temp_table"] and not row["f"]["cursor"]
     a = spark.range(1).select(X.attributes(F.lit("<a HREF='x\"y' id=\"1\" id=\"2\">")).alias("m")).first()["m"]
     assert a == {"href": 'x"y', "id": "1"}

@@ -93,6 +93,97 @@ _PROPERTY = re.compile(r"\b(?:public|internal|protected)[ \t]+(?:virtual[ \t]+|s
 _STRING = r'(?:\$?@?"((?:[^"\\]|\\.|"")*)")'
 
 
+#: Methods that take a procedure's name first: of data helpers, of Dapper, and of Entity Framework, whose text begins with EXEC.
+WRAPPERS = ("ExecuteStoredProcedure", "ExecuteProcedure", "RunProcedure", "ExecSP", "ExecuteSP", "GetDataTableBySP", "GetDataSetBySP")
+DAPPER = ("Query", "QueryAsync", "QueryFirst", "QueryFirstAsync", "QueryFirstOrDefault", "QueryFirstOrDefaultAsync", "QuerySingleOrDefault", "QueryMultiple", "Execute", "ExecuteAsync", "ExecuteScalar")
+ENTITY = ("FromSqlRaw", "FromSqlInterpolated", "FromSql", "ExecuteSqlRaw", "ExecuteSqlRawAsync", "ExecuteSqlInterpolated", "ExecuteSqlCommand", "SqlQuery")
+_NAME = r"[A-Za-z_\[][\w\[\].]{2,}"
+
+
+def _names_in(clean: str) -> dict[str, str]:
+    """Variables and constants that one text is assigned to, once or always the same."""
+    found: dict[str, set[str]] = {}
+    for m in re.finditer(rf"\b(\w+)\s*=\s*{_STRING}\s*;", clean):
+        found.setdefault(m[1], set()).add(m[2])
+    return {v: texts.pop() for v, texts in found.items() if len(texts) == 1}
+
+
+def _arguments(clean: str, at: int) -> str:
+    """What stands between the parenthesis at ``at`` and the one that closes it."""
+    depth = 0
+    for m in re.finditer(rf"{_STRING}|[()]", clean[at:]):
+        depth += (m[0] == "(") - (m[0] == ")")
+        if not depth:
+            return clean[at + 1 : at + m.start()]
+    return clean[at + 1 :]
+
+
+def procedure_calls(clean: str, wrappers: tuple[str, ...] = WRAPPERS) -> Iterator[Fact]:
+    """Procedures that helper methods, Dapper, Entity Framework and command objects name, by a text or a variable's text."""
+    known, seen = _names_in(clean), set()
+
+    def named(argument: str) -> str | None:
+        first = re.match(rf"\s*(?:{_STRING}|(\w+)\s*(?:,|$))", argument)
+        return (first[1] if first[1] is not None else known.get(first[2])) if first else None
+
+    def fact(name: str | None, how: str, at: int) -> Iterator[Fact]:
+        if name and re.fullmatch(_NAME, name) and (name, at) not in seen:
+            seen.add((name, at))
+            yield "procedure_call", name, how, "determined", at
+
+    for m in re.finditer(rf"\b\w+\s*\.\s*({'|'.join(map(re.escape, wrappers))})\s*\(", clean, re.I):
+        yield from fact(named(_arguments(clean, m.end() - 1)), "wrapper", m.start())
+    for m in re.finditer(rf"\.\s*({'|'.join(DAPPER)})\s*(?:<[^<>()]*(?:<[^<>()]*>)?[^<>()]*>)?\s*\(", clean):
+        arguments = _arguments(clean, m.end() - 1)
+        text = named(arguments)
+        execs = re.match(rf"(?i)\s*EXEC(?:UTE)?\s+({_NAME})", text or "")
+        if "CommandType.StoredProcedure" in arguments:
+            yield from fact(text, "dapper", m.start())
+        elif execs:
+            yield from fact(execs[1], "dapper", m.start())
+    for m in re.finditer(rf"\.\s*({'|'.join(ENTITY)})\s*(?:<[^<>()]*>)?\s*\(", clean):
+        execs = re.match(rf"(?i)\s*EXEC(?:UTE)?\s+({_NAME})", named(_arguments(clean, m.end() - 1)) or "")
+        yield from fact(execs and execs[1], "entity_framework", m.start())
+    for m in re.finditer(r"\bnew\s+\w*Command\s*\(|\.\s*CommandText\s*=\s*", clean):
+        argument = _arguments(clean, m.end() - 1) if m[0].endswith("(") else clean[m.end() :].split(";", 1)[0]
+        if not re.match(rf"\s*{_STRING}", argument) and "CommandType.StoredProcedure" in clean[m.end() : m.end() + 600]:
+            yield from fact(named(argument), "variable", m.start())
+
+
+#: How a key is looked up: the pattern of the expression, the name space of its key.
+_LOOKUPS = (
+    (r'ConnectionStrings\s*\[\s*"([^"]+)"\s*\]', "connection_strings"),
+    (r'\bGetConnectionString\s*\(\s*"([^"]+)"\s*\)', "connection_strings"),
+    (r'\bAppSettings\s*\[\s*"([^"]+)"\s*\]', "app_settings"),
+    (r'\b_?[Cc]onfig(?:uration)?\s*\[\s*"([^"]+)"\s*\]', "root"),
+)
+
+
+def connections(clean: str) -> Iterator[Fact]:
+    """Variables that hold a connection, with the name space and key that it is looked up by, or why that is not known.
+
+    An object made over a lookup, a text or another variable, a field that is assigned one, and a receiver whose type is
+    a registered context.
+    """
+    def looked_up(expression: str) -> str:
+        for pattern, space in _LOOKUPS:
+            if m := re.search(pattern, expression):
+                return f"{space}:{m[1].removeprefix('ConnectionStrings:')}" if space != "root" or m[1].startswith("ConnectionStrings:") else f"{space}:{m[1]}"
+        return ""
+
+    held = {m[1]: looked_up(m[2]) for m in re.finditer(r"\b(\w+)\s*=\s*([^;{}=]+);", clean) if looked_up(m[2])}
+    for m in re.finditer(r"\b(\w+)\s*=\s*new\s+(\w*(?:Connection|Func|Helper|Manager))\s*\(", clean):
+        argument = _arguments(clean, m.end() - 1).strip()
+        detail = looked_up(argument) or held.get(argument.removeprefix("this."), "")
+        if not detail and (text := re.fullmatch(_STRING, argument)):
+            detail = f"text:{text[1]}" if "=" in text[1] else f"connection_strings:{text[1]}"
+        yield "connection", m[1], detail or "unresolved:dynamic_connection_source", "determined" if detail else "candidate", m.start()
+    for m in re.finditer(r"\b(?:private|protected|public|internal)\s+(?:readonly\s+)?(\w*Context)\s+(\w+)\s*[;=]", clean):
+        yield "connection", m[2], f"context:{m[1]}", "determined", m.start()
+    for v, detail in held.items():
+        yield "connection_key", v, detail, "determined", clean.index(v)
+
+
 def csharp(text: str) -> Iterator[Fact]:
     """Namespaces, usings, classes, methods, properties, calls, SQL texts, procedure calls and endpoints of a C# file."""
     clean = strip_csharp_comments(text)
@@ -117,6 +208,8 @@ def csharp(text: str) -> Iterator[Fact]:
             yield "procedure_call", call[1], "exec_text", "determined", m.start()
         elif re.match(rf"(?i)({SQL_WORDS})\b\s+\S", strip_sql_comments(body)):
             yield "sql_text", re.match(r"\w+", body)[0].upper() if re.match(r"\w+", body) else "", body, "determined", m.start()
+    yield from procedure_calls(clean)
+    yield from connections(clean)
     for m in re.finditer(r"\b(\w+)\s*\.\s*(\w+)\s*\(", clean):
         yield "call", m[2], m[1], "candidate", m.start()
 
