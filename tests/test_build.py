@@ -5,7 +5,7 @@ import time
 from pyspark.sql import functions as F
 
 from tracewright.functions import text as X
-from tracewright.operators import build, evidence, graph
+from tracewright.operators import build, evidence, graph, paths
 
 OBJECTS = "type string, schema string, name string, definition string"
 
@@ -92,3 +92,26 @@ def test_reach_of_many_levels_is_compacted(spark):
     began = time.time()
     got = graph.reach(spark.createDataFrame([(0, 0)], "origin long, node long"), spark.createDataFrame([(i, i + 1) for i in range(25)], "source long, target long"))
     assert got.count() == 26 and got.agg(F.max("depth")).first()[0] == 25 and time.time() - began < 120
+
+
+def test_paths_and_accesses_over_a_graph(spark):
+    g = built(
+        spark,
+        ("stored_procedure", "dbo", "top", "UPDATE dbo.SOrder SET a = 1 WHERE k = 2; EXEC sub; EXEC dyn"), ("stored_procedure", "dbo", "sub", "IF @x = 1 BEGIN INSERT INTO SOrder (b) SELECT b FROM vOrder END"),
+        ("stored_procedure", "dbo", "dyn", "EXEC (@s)"), ("stored_procedure", "hr", "other", "DELETE FROM hr.SOrder"), ("view", "dbo", "vOrder", "CREATE VIEW vOrder AS SELECT * FROM dbo.Base1"),
+        ("table", "dbo", "SOrder"), ("stored_procedure", "dbo", "bad", "SELECT (1 FROM t1"),
+    )
+    rows = [(1, "stored_procedure:dbo.top", "proven", "", "a.cs"), (2, "stored_procedure:hr.other", "likely", "", "b.cs"), (3, "stored_procedure:dbo.bad", "proven", "", "c.cs")]
+    records = paths.graph_records(g, spark.createDataFrame(rows, "invocation_id long, node string, evidence string, reason string, file string")).cache()
+    got = {(r["invocation_id"], r["operation_type"], r["target"], tuple(r["risk_flags"]), r["path_evidence"], r["unresolved_reason"]) for r in records.collect()}
+    assert got == {
+        (1, "UPDATE", "SOrder", (), "proven", ""), (1, "INSERT", "SOrder", (), "proven", ""), (1, "DYNAMIC_SQL", "", ("dynamic_sql",), "unresolved", "unresolved_dynamic_sql"),
+        (2, "DELETE", "SOrder", ("likely_invocation",), "likely", ""), (3, None, "", ("sql_parse_error",), "unresolved", "stored_procedure_has_no_terminal_dml"),
+    }
+    assert records.select("path_id").distinct().count() == 5
+    ask = lambda *q, **k: sorted((r["invocation_id"], r["access_type"], r["is_write"], r["is_indirect"]) for r in paths.graph_accesses(records, g, q, "Main", **k).collect())
+    assert ask("", "dbo", "sorder") == [(1, "INSERT", True, True), (1, "UNRESOLVED", False, True), (1, "UPDATE", True, False)]
+    assert ask("", "", "SOrder", access="write") == [(1, "INSERT", True, True), (1, "UPDATE", True, False), (2, "UNRESOLVED", False, False)]
+    assert ask("other", "dbo", "SOrder") == [(1, "UNRESOLVED", False, True)]
+    assert ask("", "", "Base1", access="read") == [(1, "READ", False, True)]
+    assert ask("", "", "vOrder") == [(1, "READ", False, True), (1, "UNRESOLVED", False, True)]
