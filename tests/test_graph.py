@@ -81,3 +81,11 @@ def test_aliases_on_a_cycle_end(spark):
 def test_top_is_bounded(spark):
     assert rank.top(spark.range(500), 100, F.col("id")).count() == 60
     assert rank.top(spark.range(5), -1, F.col("id")).count() == 0
+
+
+def test_a_cut_forgets_what_its_plan_knew_of_columns(spark):
+    """Else each round of a loop derives longer conditions from those of the round before."""
+    held = graph.cut(spark.range(50).select(F.floor(F.col("id") / 2).alias("node")).filter("node > 3"))
+    plan = held.join(spark.range(50).withColumnRenamed("id", "node"), "node")._jdf.queryExecution().optimizedPlan().toString()
+    assert "> 3" not in plan and held.count() == 42
+    assert spark.conf.get("spark.sql.constraintPropagation.enabled") == "true"

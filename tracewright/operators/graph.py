@@ -6,7 +6,9 @@ lost executor costs no more than the round it was lost in.
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
+from collections.abc import Iterator
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,7 +27,20 @@ def cut(df: DataFrame) -> DataFrame:
                 raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
             folder = tempfile.mkdtemp(prefix="checkpoints-")
         spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    with _set(spark, "spark.sql.constraintPropagation.enabled", "false"):
+        return df.checkpoint(eager=True)
+
+
+@contextlib.contextmanager
+def _set(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A setting for what runs inside. A checkpoint keeps what its plan knows of its columns, and the next round derives
+    more from it, so without a cut of that as well a condition grows by a power of the rounds."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
 class Levels:
@@ -71,7 +86,7 @@ def expand_bounded(entries: DataFrame, calls: DataFrame, max_depth: int = MAX_CA
 
 def reach(starts: DataFrame, edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
     """``starts(origin, node)``, ``edges(source, target)`` -> ``(origin, node, depth)``: everything reachable, once, at its least depth."""
-    edges = edges.select("source", "target").distinct()
+    edges = cut(edges.select("source", "target").distinct())
     frontier = cut(starts.select("origin", "node").distinct().withColumn("depth", F.lit(0)))
     seen = Levels(frontier)
     for depth in range(1, max_rounds + 1):
