@@ -2,6 +2,7 @@ import time
 
 from pyspark.sql import functions as F
 
+from tracewright import catalogue
 from tracewright.operators import answers, evidence, graph, paths, rank, resolve
 
 
@@ -83,6 +84,21 @@ def test_top_is_bounded(spark):
     assert rank.top(spark.range(5), -1, F.col("id")).count() == 0
 
 
+def test_places_of_an_order_are_those_of_all_rows(spark):
+    """Ranges come from a sample and may be merged at run time, and two plans over them do not see the same ones."""
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "200")
+    try:
+        got = catalogue.QUERIES["path_order"](spark, "/root/testdata/sf0.1").collect()
+    finally:
+        spark.conf.set(key, before)
+    rows = spark.read.parquet("/root/testdata/sf0.1/orders.parquet").select("o_orderkey", "o_custkey").collect()
+    n = spark.read.parquet("/root/testdata/sf0.1/part.parquet").count()
+    want = sorted((f"f{r['o_custkey']}.cs", r["o_orderkey"] % n, r["o_orderkey"]) for r in rows)
+    assert {r["invocation_no"]: r["position"] for r in got} == {w[2]: i for i, w in enumerate(want)}
+
+
 def test_a_cut_forgets_what_its_plan_knew_of_columns(spark):
     """Else each round of a loop derives longer conditions from those of the round before."""
     held = graph.cut(spark.range(50).select(F.floor(F.col("id") / 2).alias("node")).filter("node > 3"))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .graph import cut
+
 
 def first_by(rows: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """The first row of each key. An aggregate of one struct: it sums up before the shuffle, unlike a window."""
@@ -33,9 +35,10 @@ def inline_match(rows: DataFrame) -> DataFrame:
 def ranged(rows: DataFrame, order: list[Column], place: str = "position") -> DataFrame:
     """``rows`` in an order over all of them, with their place from 0: dealt to ranges, which are counted and not gathered.
 
-    The columns of ``order`` have to tell all rows apart.
+    The columns of ``order`` have to tell all rows apart. The ranges come from a sample and may be merged at run time, so
+    they are materialised before they are counted: dealt twice, they would not be the same.
     """
-    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    dealt = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
     part = F.shiftrightunsigned("_at", 33)
     sizes = dealt.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))  # a row for each range
     starts = sizes.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_start"))
