@@ -27,3 +27,16 @@ def test_match_procedure_of_one_name(spark):
     each = spark.range(MANY)
     got = resolve.match_procedure(each.select(F.col("id").alias("invocation_id"), F.lit("a").alias("key"), F.lit("").alias("schema")), each.select(F.col("id").alias("node_id"), F.lit("a").alias("key"), F.lit("dbo").alias("schema")))
     assert [tuple(r) for r in got.select("n", "reason").distinct().collect()] == [(MANY, "ambiguous_stored_procedure_graph_target")]
+
+
+def test_parent_application(spark):
+    sites = [(1, 0, "a"), (2, 0, "a/b"), (3, 0, "a/b/c"), (4, 0, "a/b/c"), (5, 0, "a/b/c/d"), (6, 1, "a/b"), (7, 0, None), (8, 0, "x/y/z"), (9, 0, "x"), (9, 0, "x/y"), (10, 0, "q"), (10, 0, "q/r")]
+    got = rows(access.parent_application(spark.createDataFrame(sites, "site int, origin int, path string")).distinct())
+    # 9 and 10 stand at two paths each: a site is not above itself
+    assert got == sorted([(1, None, "root"), (2, 1, ""), (3, 2, ""), (4, 2, ""), (5, None, "ambiguous"), (6, None, "root"), (7, None, "root"), (8, 9, ""), (9, None, "root"), (10, None, "root")], key=str)
+
+
+def test_parent_application_of_one_path(spark):
+    sites = spark.range(2 * MANY).select(F.col("id").alias("site"), F.lit(0).alias("origin"), F.when(F.col("id") < MANY, "a").otherwise("a/b").alias("path"))
+    got = access.parent_application(sites).groupBy("reason").count().collect()
+    assert dict(map(tuple, got)) == {"root": MANY, "ambiguous": MANY}

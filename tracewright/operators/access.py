@@ -91,14 +91,24 @@ def nearest_reason(uses: DataFrame, reasons: DataFrame) -> DataFrame:
 
 
 def parent_application(sites: DataFrame) -> DataFrame:
-    """``sites(site, origin, path)`` -> the site of the longest proper path prefix, or why there is none."""
+    """``sites(site, origin, path)`` -> the site of the longest proper path prefix, or why there is none.
+
+    Of the sites at a path only the least and the most are carried, each with the next one for a site that is itself
+    there: whether there are several is all that has to be known of their number.
+    """
     above = F.transform(F.sequence(F.lit(0), F.size(F.split("path", "/")) - 2), lambda n: F.array_join(F.slice(F.split("path", "/"), F.lit(1), n + 1), "/"))
-    p = sites.select(F.col("site").alias("parent"), F.col("origin").alias("o"), F.col("path").alias("p"))
-    child = sites.withColumn("up", F.explode_outer(F.when(F.size(F.split("path", "/")) > 1, above)))
-    joined = child.join(p, (F.col("origin") == F.col("o")) & (F.col("up") == F.col("p")), "left").filter(F.col("parent").isNull() | (F.col("parent") != F.col("site")))
-    best = joined.withColumn("len", F.length("p")).withColumn("top", F.max("len").over(W.partitionBy("site"))).filter(F.col("len").eqNullSafe(F.col("top")))
-    found = best.groupBy("site").agg(F.countDistinct("parent").alias("n"), F.min("parent").alias("parent"))
-    return sites.select("site").join(found, "site", "left").select("site", F.when(F.col("n") == 1, F.col("parent")).alias("parent"), F.when(F.col("n") > 1, "ambiguous").when(F.col("n") == 1, "").otherwise("root").alias("reason"))
+    at = sites.filter("site is not null and path is not null").select("site", "origin", F.col("path").alias("up"))
+    ends = at.groupBy("origin", "up").agg(F.min("site").alias("least"), F.max("site").alias("most"))
+    inner = at.join(ends, ["origin", "up"])
+    inner = inner.groupBy("origin", "up").agg(F.min(F.when(F.col("site") > F.col("least"), F.col("site"))).alias("least2"), F.max(F.when(F.col("site") < F.col("most"), F.col("site"))).alias("most2"))
+    child = sites.select("site", "origin", F.explode(F.when(F.size(F.split("path", "/")) > 1, above)).alias("up"))
+    joined = child.join(ends.join(inner, ["origin", "up"]), ["origin", "up"])
+    other = lambda one, two: F.when(F.col("site").eqNullSafe(F.col(one)), F.col(two)).otherwise(F.col(one)).alias(one)
+    met = joined.select("site", F.length("up").alias("len"), other("least", "least2"), other("most", "most2")).filter("least is not null")
+    met = met.groupBy("site", "len").agg(F.min("least").alias("least"), F.max("most").alias("most"))
+    found = met.groupBy("site").agg(F.max(F.struct("len", "least", "most")).alias("b")).select("site", F.col("b.least").alias("parent"), (F.col("b.least") != F.col("b.most")).alias("several"))
+    several = F.col("several")
+    return sites.select("site").join(found, "site", "left").select("site", F.when(~several, F.col("parent")).alias("parent"), F.when(several, "ambiguous").when(~several, "").otherwise("root").alias("reason"))
 
 
 def select_overload(calls: DataFrame, operations: DataFrame) -> DataFrame:
