@@ -40,3 +40,25 @@ def test_parent_application_of_one_path(spark):
     sites = spark.range(2 * MANY).select(F.col("id").alias("site"), F.lit(0).alias("origin"), F.when(F.col("id") < MANY, "a").otherwise("a/b").alias("path"))
     got = access.parent_application(sites).groupBy("reason").count().collect()
     assert dict(map(tuple, got)) == {"root": MANY, "ambiguous": MANY}
+
+
+def test_nearest_reason(spark):
+    rng = random.Random(2)
+    line = lambda: rng.choice([None, *range(12)])
+    uses = [(i, rng.choice([None, "f", "g", "h"]), line()) for i in range(80)] + [(5, "f", 3)]
+    reasons = [(rng.choice([None, "f", "g"]), line(), rng.choice(["x", "y", None])) for _ in range(12)] + [("e", None, "z")]
+    last = lambda v: (v is None, "" if v is None else v)
+    met = {}
+    for u, f, n in uses:
+        for g, at, r in reasons:
+            if f is not None and f == g:
+                d = None if n is None or at is None else abs(n - at)
+                met.setdefault(u, []).append((d is None, d or 0, at is None, at or 0, last(r), r))
+    want = sorted([(u, min(c, key=lambda x: x[:5])[5]) for u, c in met.items()], key=str)
+    assert rows(access.nearest_reason(spark.createDataFrame(uses, "use_id int, file string, line int"), spark.createDataFrame(reasons, "file string, line int, reason string"))) == want
+
+
+def test_nearest_reason_of_one_file(spark):
+    each = spark.range(MANY)
+    got = access.nearest_reason(each.select(F.col("id").alias("use_id"), F.lit("f").alias("file"), (10 * F.col("id") + 4).alias("line")), each.select(F.lit("f").alias("file"), (10 * F.col("id")).alias("line"), F.col("id").cast("string").alias("reason")))
+    assert got.filter("reason = use_id").count() == MANY

@@ -85,9 +85,25 @@ def anchored_actions(anchors: DataFrame, actions: DataFrame) -> DataFrame:
 
 
 def nearest_reason(uses: DataFrame, reasons: DataFrame) -> DataFrame:
-    """``uses(use_id, file, line)`` with the reason in their file that is nearest by line, the earlier of two."""
-    joined = uses.join(reasons.select("file", F.col("line").alias("at"), "reason"), "file")
-    return joined.groupBy("use_id").agg(F.min(F.struct(F.abs(F.col("line") - F.col("at")).alias("d"), "at", "reason")).alias("b")).select("use_id", F.col("b.reason").alias("reason"))
+    """``uses(use_id, file, line)`` with the reason in their file that is nearest by line, the earlier of two.
+
+    Reasons and uses meet in one order of lines, the last reason before a use and the first after it; a reason without a
+    line comes after all others.
+    """
+    held = reasons.groupBy("file", "line").agg(F.min("reason").alias("reason")).select("file", "line", F.lit(None).cast(uses.schema["use_id"].dataType).alias("use_id"), F.struct(F.col("line").alias("at"), "reason").alias("r"), F.lit(0).alias("kind"))
+    rows = held.unionByName(uses.select("file", "line", "use_id", F.lit(None).cast(held.schema["r"].dataType).alias("r"), F.lit(1).alias("kind"))).filter("file is not null")
+    stated = F.when(F.col("line").isNotNull(), F.col("r"))
+    # both from the start of their frame: a frame up to the end is gone through again for each row
+    forth, back = (W.partitionBy("file").orderBy(*o).rowsBetween(W.unboundedPreceding, W.currentRow) for o in (("line", "kind"), (F.desc("line"), F.desc("kind"))))
+    found = rows.withColumns({
+        "before": F.last(stated, ignorenulls=True).over(forth),
+        "after": F.last(stated, ignorenulls=True).over(back),
+        "other": F.first(F.when(F.col("line").isNull(), F.col("r")), ignorenulls=True).over(W.partitionBy("file")),
+    })
+    last = lambda c: (c.isNull(), c)
+    ranked = lambda r: F.when(r.isNotNull(), F.struct(*[x.alias(f"c{i}") for i, x in enumerate([*last(F.abs(F.col("line") - r["at"])), *last(r["at"]), *last(r["reason"])])]))
+    best = F.least(ranked(F.col("before")), ranked(F.col("after")), ranked(F.col("other")))
+    return found.filter("kind = 1").select("use_id", best.alias("b")).filter("b is not null").groupBy("use_id").agg(F.min("b").alias("b")).select("use_id", F.col("b.c5").alias("reason"))
 
 
 def parent_application(sites: DataFrame) -> DataFrame:
