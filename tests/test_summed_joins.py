@@ -62,3 +62,26 @@ def test_nearest_reason_of_one_file(spark):
     each = spark.range(MANY)
     got = access.nearest_reason(each.select(F.col("id").alias("use_id"), F.lit("f").alias("file"), (10 * F.col("id") + 4).alias("line")), each.select(F.lit("f").alias("file"), (10 * F.col("id")).alias("line"), F.col("id").cast("string").alias("reason")))
     assert got.filter("reason = use_id").count() == MANY
+
+
+def test_overloads(spark):
+    rng = random.Random(3)
+    calls = [(i, rng.choice(["F", "g", "none", None]), rng.choice([None, 0, 1, 2, 3])) for i in range(80)] + [(5, "f", 2), (5, "f", 2)]
+    ops = [(rng.choice(["f", "G", None]), i, rng.choice([None, 0, 1, 2]), rng.choice([None, 1, 2, 3])) for i in range(9)]
+    low = lambda s: s and s.lower()
+    want = []
+    for c in {c[0] for c in calls}:
+        met = [(o, n) for i, name, n in calls if i == c for o in ops if name is not None and low(o[0]) == low(name)]
+        exact = [o[1] for o, n in met if n is not None and o[3] == n]
+        loose = [o[1] for o, n in met if n is not None and o[3] != n and None not in o[2:] and o[2] <= n < o[3]]
+        fit = exact or loose
+        why = "unresolved_method" if not met else "no_matching_overload" if not fit else "ambiguous_overload" if len(fit) > 1 else ""
+        want.append((c, fit[0] if len(fit) == 1 else None, why))
+    assert rows(access.select_overload(spark.createDataFrame(calls, "call_id int, name string, n_args int"), spark.createDataFrame(ops, "name string, identity int, required int, declared int"))) == sorted(want, key=str)
+
+
+def test_overloads_of_one_name(spark):
+    each = spark.range(MANY)
+    ops = each.select(F.lit("f").alias("name"), F.col("id").alias("identity"), F.lit(1).alias("required"), F.when(F.col("id") == 3, 2).otherwise(5).alias("declared"))
+    got = access.select_overload(each.select(F.col("id").alias("call_id"), F.lit("F").alias("name"), F.lit(2).alias("n_args")), ops)
+    assert [tuple(r) for r in got.select("identity", "reason").distinct().collect()] == [(3, "")] and got.count() == MANY

@@ -130,12 +130,22 @@ def parent_application(sites: DataFrame) -> DataFrame:
 def select_overload(calls: DataFrame, operations: DataFrame) -> DataFrame:
     """``calls(call_id, name, n_args)`` against ``operations(name, identity, required, declared)``.
 
-    Exact arity first, else one whose required arguments are given; several are ambiguous.
+    Exact arity first, else one whose required arguments are given; several are ambiguous. Operations are summed up once
+    for each name and number of arguments that is called, however many calls there are.
     """
-    joined = calls.join(operations.withColumn("key", F.lower("name")).drop("name"), F.lower("name") == F.col("key"), "left")
+    made = calls.select("call_id", F.lower("name").alias("called"), "n_args")
+    asked = made.select("called", "n_args").distinct()
+    joined = asked.join(operations.select(F.lower("name").alias("called"), "identity", "required", "declared"), "called")
     fit = F.when(F.col("declared") == F.col("n_args"), 0).when((F.col("required") <= F.col("n_args")) & (F.col("n_args") < F.col("declared")), 1)
-    ranked = joined.withColumn("fit", fit).withColumn("best", F.min("fit").over(W.partitionBy("call_id")))
-    found = ranked.groupBy("call_id").agg(F.max(F.col("key").isNotNull()).alias("named"), F.count_if(F.col("fit") == F.col("best")).alias("n"), F.min(F.when(F.col("fit") == F.col("best"), F.col("identity"))).alias("identity"))
+    of = lambda k: F.col("fit") == k
+    summed = joined.withColumn("fit", fit).groupBy(F.col("called").alias("key"), F.col("n_args").alias("args")).agg(
+        F.count_if(of(0)).alias("n0"), F.count_if(of(1)).alias("n1"), F.min(F.when(of(0), F.col("identity"))).alias("id0"), F.min(F.when(of(1), F.col("identity"))).alias("id1")
+    )
+    met = made.join(summed, (F.col("called") == F.col("key")) & F.col("n_args").eqNullSafe(F.col("args")), "left")
+    sums = met.groupBy("call_id").agg(
+        F.max(F.col("key").isNotNull()).alias("named"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n0", "n1")], *[F.min(c).alias(c) for c in ("id0", "id1")]
+    )
+    found = sums.select("call_id", "named", F.when(F.col("n0") > 0, F.col("n0")).otherwise(F.col("n1")).alias("n"), F.when(F.col("n0") > 0, F.col("id0")).otherwise(F.col("id1")).alias("identity"))
     reason = F.when(~F.col("named"), "unresolved_method").when(F.col("n") == 0, "no_matching_overload").when(F.col("n") > 1, "ambiguous_overload").otherwise("")
     return found.select("call_id", F.when(F.col("n") == 1, F.col("identity")).alias("identity"), reason.alias("reason"))
 
