@@ -105,3 +105,18 @@ def test_a_cut_forgets_what_its_plan_knew_of_columns(spark):
     plan = held.join(spark.range(50).withColumnRenamed("id", "node"), "node")._jdf.queryExecution().optimizedPlan().toString()
     assert "> 3" not in plan and held.count() == 42
     assert spark.conf.get("spark.sql.constraintPropagation.enabled") == "true"
+
+
+def test_temp_lineage_writes_each_state_once(spark, monkeypatch):
+    held, written = graph.cut, []
+
+    def counted(df):
+        out = held(df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(graph, "cut", counted)
+    fills = spark.createDataFrame([(0, "#t", "A")], "module long, temp string, base string")
+    got = graph.temp_table_lineage(spark, fills, edges(spark, [(i, i + 1) for i in range(5)])).collect()
+    # up, down and here of the first, up and here of the five that it calls
+    assert {tuple(r["chain"]) for r in got} == {tuple(range(i, -1, -1)) for i in range(6)} and sum(written) == 13

@@ -27,7 +27,7 @@ def cut(df: DataFrame) -> DataFrame:
                 raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
             folder = tempfile.mkdtemp(prefix="checkpoints-")
         spark.sparkContext.setCheckpointDir(folder)
-    with _set(spark, "spark.sql.constraintPropagation.enabled", "false"):
+    with _set(spark, "spark.sql.constraintPropagation.enabled", "false"), _set(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
         return df.checkpoint(eager=True)
 
 
@@ -114,22 +114,6 @@ def reach_with_free_edges(starts: DataFrame, edges: DataFrame, max_depth: int) -
     return seen
 
 
-def fixed_point(start: DataFrame, step, merge, max_rounds: int = 1000) -> DataFrame:
-    """The least set that holds ``start`` and ``step`` of itself. ``merge`` reduces states to the best of each key.
-
-    Each round steps from the states that the last one changed, so a settled state is not looked at again.
-    """
-    state = cut(merge(start))
-    changed = state
-    for _ in range(max_rounds):
-        after = cut(merge(state.unionByName(step(changed))))
-        changed = cut(after.exceptAll(state))
-        if changed.isEmpty():
-            return after
-        state = after
-    raise RuntimeError("fixed point not reached")
-
-
 def temp_table_lineage(spark: SparkSession, selects: DataFrame, calls: DataFrame, shadowed: DataFrame | None = None) -> DataFrame:
     """Base tables behind the temporary tables a module uses.
 
@@ -139,29 +123,38 @@ def temp_table_lineage(spark: SparkSession, selects: DataFrame, calls: DataFrame
     ``shadowed(module, temp)`` is the module's own: nobody looks up out of that module for it, or down into it.
     -> ``(module, temp, base, chain)``: the shortest chain of modules, the first by name of those.
     """
+    keys = ["module", "temp", "base", "way"]
     own = selects.select("module", "temp", "base", F.array("module").alias("chain"), F.explode(F.array(*map(F.lit, ("up", "down", "here")))).alias("way"))
     shadowed = (shadowed if shadowed is not None else selects.limit(0)).select(F.col("module").alias("own_module"), F.col("temp").alias("own_temp")).distinct()
+    # what is filled from a temp table of the same module, over whatever temp tables between
+    at = lambda c: F.struct("module", F.col(c).alias("temp"))
+    inner = selects.join(selects.select(F.col("temp").alias("base")).distinct(), "base", "left_semi").select(at("base").alias("source"), at("temp").alias("target"))
+    passes = cut(reach(inner.select(F.col("source").alias("origin"), F.col("source").alias("node")), inner).filter("depth > 0").select(F.col("origin.module").alias("in_module"), F.col("origin.temp").alias("from_temp"), F.col("node.temp").alias("to_temp")))
 
     def free(states: DataFrame, module: str) -> DataFrame:
         return states.join(shadowed, (F.col(module) == F.col("own_module")) & (F.col("temp") == F.col("own_temp")), "left_anti")
 
-    def step(states: DataFrame) -> DataFrame:
+    def moved(states: DataFrame) -> DataFrame:
         # what a caller sees looking up, its callees see looking up; what a callee sees looking down, its callers see
         called = free(states.filter("way = 'up'").join(calls, F.col("module") == F.col("source")), "target").select(F.col("target").alias("module"), "temp", "base", F.concat(F.array("target"), "chain").alias("chain"), "way")
         caller = free(states.filter("way = 'down'"), "module").join(calls, F.col("module") == F.col("target")).select(F.col("source").alias("module"), "temp", "base", F.concat(F.array("source"), "chain").alias("chain"), "way")
-        moved = called.unionByName(caller)
-        through = (
-            states.alias("s").join(selects.alias("t"), (F.col("s.module") == F.col("t.module")) & (F.col("s.temp") == F.col("t.base")))
-            .select(F.col("t.module"), F.col("t.temp"), F.col("s.base"), F.col("s.chain"), F.col("s.way"))
-        )
-        return moved.unionByName(moved.withColumn("way", F.lit("here"))).unionByName(through)
-
-    def merge(states: DataFrame) -> DataFrame:
-        best = F.min(F.struct(F.size("chain").alias("n"), F.col("chain").alias("chain")))
-        return states.groupBy("module", "temp", "base", "way").agg(best.alias("b")).select("module", "temp", "base", F.col("b.chain").alias("chain"), "way")
-
-    done = fixed_point(own, step, merge)
-    return done.filter((F.col("way") == "here") & ~F.col("base").startswith("#")).select("module", "temp", "base", "chain")
+        both = called.unionByName(caller)
+        return both.withColumn("way", F.explode(F.array("way", F.lit("here"))))
+
+    def settled(states: DataFrame) -> DataFrame:
+        through = states.join(passes, (F.col("module") == F.col("in_module")) & (F.col("temp") == F.col("from_temp"))).select("module", F.col("to_temp").alias("temp"), "base", "chain", "way")
+        return states.unionByName(through).groupBy(*keys).agg(F.min("chain").alias("chain"))
+
+    # a round finds the chains that are longer by one, so a state is final when it is first found and is written once
+    level = cut(settled(own))
+    seen = Levels(level)
+    seen.MANY = 64
+    while not level.isEmpty():
+        known = seen.rows().select(*[F.col(k).alias(f"known_{k}") for k in keys])
+        same = reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(f"known_{k}")) for k in keys))
+        level = cut(settled(moved(level)).join(known, same, "left_anti"))
+        seen.add(level)
+    return seen.rows().filter((F.col("way") == "here") & ~F.col("base").startswith("#")).select("module", "temp", "base", "chain")
 
 
 def container_lineage(reads: DataFrame) -> DataFrame:
