@@ -19,11 +19,11 @@ WINDOW, END = 4096, 2
 TIERS = (256, 512, 1024, 2048, 4096)
 #: A task packs once it holds so many windows of remainders, down to KEEP; a step group has so many windows of tokens.
 POOL, KEEP, GROUP = 64, 32, 8
-#: Distinct words whose ids a worker remembers.
+#: Distinct words whose ids a worker remembers; beyond, the half that came last is forgotten, as frequent words come early.
 WORDS = 500_000
 
 #: A comma or a full stop that ends a word is a token of its own after an ASCII letter or digit.
-_STOP = re.compile(rb"(?<=[a-z0-9])[,.](?=\s|\Z)")
+_STOP = re.compile(rb"[a-z0-9][,.]\Z")
 
 
 class WordIds:
@@ -40,29 +40,37 @@ class WordIds:
         self.known: dict[bytes, bytes] = {}
 
     def learn(self, words: list[bytes]) -> None:
-        if len(self.known) + len(words) > WORDS:
-            self.known.clear()
-        for k in range(0, len(words), 5000):
-            part = words[k : k + 5000]
+        known = self.known
+        if len(known) + len(words) > WORDS:
+            for w in list(known)[WORDS // 2 :]:
+                del known[w]
+        ended = [w for w in words if w.endswith((b",", b".")) and _STOP.search(w)]
+        # whole words but those that end in a stop, which are put together from the word and the stop
+        new = dict.fromkeys(words).keys() - ended | {w[:-1] for w in ended} | {w[-1:] for w in ended}
+        new = [w for w in new if w not in known]
+        for k in range(0, len(new), 5000):
+            part = new[k : k + 5000]
             texts = [w.decode("utf-8", "surrogatepass") for w in part]
             got = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
             raw = np.array(got.ids, dtype="<u4").tobytes()
             starts = np.cumsum([0, *[len(t) + 1 for t in texts]])
             ends = np.searchsorted(np.array([o[0] for o in got.offsets]), starts).tolist()
             for i, w in enumerate(part):
-                self.known[w] = raw[4 * ends[i] : 4 * ends[i + 1]]
+                known[w] = raw[4 * ends[i] : 4 * ends[i + 1]]
+        for w in ended:
+            known[w] = known[w[:-1]] + known[w[-1:]]
 
     def encode(self, text: bytes) -> bytes:
         """The ids of ``text`` as little-endian unsigned 32-bit numbers."""
         if b"<|" in text:
             return np.array(self.tokenizer.encode(text.decode("utf-8", "surrogatepass"), add_special_tokens=False).ids, dtype="<u4").tobytes()
-        words = _STOP.sub(rb" \g<0>", text.lower()).split()
+        words = text.lower().split()
         known = self.known
         try:
             return b"".join([known[w] for w in words])
         except KeyError:
             self.learn([w for w in dict.fromkeys(words) if w not in known])
-        if any(w not in known for w in words):  # cleared meanwhile
+        if any(w not in known for w in words):  # forgotten meanwhile
             self.learn([*dict.fromkeys(words)])
         return b"".join([known[w] for w in words])
 
