@@ -38,6 +38,8 @@ FALSE_SHARE = 0.05
 MOST_UNEVEN = 4.0
 #: Ordinary runs are made in these lengths, of the bands from FIRST_BAND on; longer ones count as the last.
 FIRST_BAND, LENGTHS = 8, (20, 27, 38, 54, 76, 108, 152)
+#: So many ordinary words at least are joined in one way, if a text has them.
+BLOCK = 60
 #: What ordinary runs score is taken to be, with the weight of HELD runs: a mean of LIFT * sqrt(length), less in an
 #: alphabet of one case, and a standard deviation of SPREAD.
 HELD, LIFT, LIFT_ONE_CASE, SPREAD = 100, 0.7, 0.4, 1.3
@@ -99,7 +101,8 @@ def battery(token: Column) -> Column:
     def tests(v: Column) -> Column:
         codes, k = v["codes"], v["k"]
         n = F.size(codes).cast("double")
-        squares = F.aggregate(F.array_distinct(codes), F.lit(0.0), lambda s, c: s + F.pow(F.size(F.filter(codes, lambda x: x == c)).cast("double"), 2.0))
+        counts = F.transform(F.array_distinct(F.split(v["bare"], "")), lambda c: (F.length(v["bare"]) - F.length(F.replace(v["bare"], c, F.lit("")))).cast("double"))
+        squares = F.aggregate(counts, F.lit(0.0), lambda s, c: s + c * c)
         chi, mean, variance = squares * k / n - n, k - 1, 2 * (k - 1) * (n - 1) / n
         shape = 9 * mean * mean / variance
         z_chi = (F.pow(chi / mean, F.lit(1 / 3)) - 1 + 1 / shape) * F.sqrt(shape)
@@ -112,7 +115,7 @@ def battery(token: Column) -> Column:
         return F.struct(F.when(n < 3, 99.0).otherwise((z_chi + z_runs + z_serial) / math.sqrt(3)).alias("score"), k.cast("int").alias("k"))
 
     codes = lambda a: F.transform(F.filter(F.split(bare, ""), lambda c: c != ""), lambda c: (F.instr(a, c) - 1).cast("double"))
-    return let(alphabet, lambda a: let(F.struct(codes(a).alias("codes"), F.length(a).cast("double").alias("k")), tests))
+    return let(alphabet, lambda a: let(F.struct(codes(a).alias("codes"), F.length(a).cast("double").alias("k"), bare.alias("bare")), tests))
 
 
 def band(length: Column) -> Column:
@@ -138,12 +141,42 @@ def ordinary_run(text: Column) -> Column:
     return let(joined, lambda j: F.when(F.length(j) >= length, F.substring(j, F.lit(1), length)))
 
 
+def _evenly(n: Column, least: Column) -> Column:
+    """Bounds that part ``n`` things into consecutive parts alike in size, of ``least`` each if there are so many."""
+    parts = F.greatest(F.floor(n / least), F.lit(1)).cast("int")
+    return F.transform(F.sequence(F.lit(0), parts), lambda i: F.floor(i.cast("long") * n / parts).cast("int"))
+
+
+def ordinary_runs(text: Column) -> Column:
+    """All ordinary words of ``text`` as runs, as identifiers, slugs and paths are made; none without enough.
+
+    Every whole word lies in a block of BLOCK words or more, and every character of a joined block in one run. A hash of
+    the text and the block's place choose one of LENGTHS, which runs have at least if the block holds it, and how words
+    are joined: in camel case, by an underline, a hyphen, a slash, or as they are. Every third word ends in a number.
+    """
+
+    def block(ws: Column, turn: Column) -> Column:
+        ws = F.transform(ws, lambda w, i: F.when(i % 3 == 2, F.concat(F.lower(w), F.pmod(F.xxhash64(w), F.lit(100)).cast("string"))).otherwise(F.lower(w)))
+        form = F.pmod(F.shiftrightunsigned(turn, 8), F.lit(5))
+        length = F.get(F.array(*map(F.lit, LENGTHS)), F.pmod(turn, F.lit(len(LENGTHS))).cast("int"))
+        joined = F.when(form == 0, F.array_join(F.transform(ws, F.initcap), ""))
+        for i, mark in enumerate(("_", "-", "/", "")):
+            joined = F.when(form == i + 1, F.array_join(ws, mark)).otherwise(joined)
+        return let(joined, lambda j: let(_evenly(F.length(j), length), lambda at: F.transform(F.slice(at, F.lit(1), F.size(at) - 1), lambda x, i: F.substring(j, x + 1, F.get(at, i + 1) - x))))
+
+    def runs(words: Column) -> Column:
+        each = lambda at: F.transform(F.slice(at, F.lit(1), F.size(at) - 1), lambda x, i: block(F.slice(words, x + 1, F.get(at, i + 1) - x), F.xxhash64(text, i)))
+        return F.filter(F.flatten(let(_evenly(F.size(words), F.lit(BLOCK)), each)), lambda r: F.length(r) >= MIN_RANDOM)
+
+    return let(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), runs)
+
+
 def ordinary(runs: DataFrame) -> dict[tuple[int, int], tuple[float, float]]:
-    """``runs(run)`` of ``ordinary_run`` -> mean and standard deviation of their scores by alphabet and band of length.
+    """``runs(run)`` of ``ordinary_run`` or ``ordinary_runs`` -> mean and standard deviation of their scores by alphabet and band of length.
 
     Sums are by alphabet and band, a bounded number of rows; each takes in what ordinary runs are taken to score.
     """
-    scored = runs.filter("run is not null").select(band(F.length("run")).alias("band"), battery(F.col("run")).alias("b")).select("band", "b.k", F.col("b.score").alias("s"))
+    scored = runs.filter("run is not null").select(F.least(band(F.length("run")), F.lit(FIRST_BAND + len(LENGTHS) - 1)).alias("band"), battery(F.col("run")).alias("b")).select("band", "b.k", F.col("b.score").alias("s"))
     sums = {(r["k"], r["band"]): r for r in scored.groupBy("k", "band").agg(F.count("*").alias("n"), F.sum("s").alias("s"), F.sum(F.col("s") * F.col("s")).alias("q")).collect()}
     found = {}
     for k in sorted({len(letters) for _, letters in ENCODINGS}):
@@ -191,15 +224,15 @@ def _below(ordered: Column, bound: Column, upto: bool) -> Column:
     return F.aggregate(steps, F.lit(0), step)
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
     """``(doc_id, n_assign, n_access, n_hex, n_random, base_sha256, spans)`` of every row of ``docs``.
 
     spans: ``kind:start:end`` by start, then kind, in code points. Null texts are empty and have no span. The kind
     ``random`` is a run of encoding characters that the battery tells from ordinary runs of its alphabet and length, at
     a bounded share of false reports, and does not tell from random ones; it meets no span of the fixed patterns. What
-    ordinary runs score is fitted to runs of words, one from every document. Rows that repeat are scanned each, rows
-    without an id keep a null; a run that repeats counts once among the tests. An empty table gives none, and other
-    columns don't matter.
+    ordinary runs score is fitted to runs of words: if ``whole``, of all words of every document, else one of each. Rows
+    that repeat are scanned each, rows without an id keep a null; a run that repeats counts once among the tests. An
+    empty table gives none, and other columns don't matter.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     base = F.concat(
@@ -211,7 +244,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         text.rlike(CANDIDATE),
         let(F.struct(spans(text, CANDIDATE, 3, F.lit(True)).alias("s"), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)).alias("t")), lambda v: F.arrays_zip(v["s"].alias("s"), v["t"].alias("t"))),
     ).otherwise(F.array().cast("array<struct<s: struct<start: long, end: long, kind: int>, t: string>>"))
-    null = ordinary(docs.select(ordinary_run(text).alias("run")))
+    null = ordinary(docs.select((F.explode(ordinary_runs(text)) if whole else ordinary_run(text)).alias("run")))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.array_sort(base).alias("base"), runs.alias("runs"))
     starts, ends = (F.sort_array(F.transform("base", lambda b: b[c])) for c in ("start", "end"))
 
