@@ -70,7 +70,9 @@ class WordIds:
             return b"".join([known[w] for w in words])
         except KeyError:
             self.learn([w for w in dict.fromkeys(words) if w not in known])
-        if any(w not in known for w in words):  # forgotten meanwhile
+        try:
+            return b"".join([known[w] for w in words])
+        except KeyError:  # forgotten meanwhile
             self.learn([*dict.fromkeys(words)])
         return b"".join([known[w] for w in words])
 
