@@ -40,3 +40,10 @@ def test_query_fits_to_all_words(spark, tmp_path, monkeypatch):
     spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     assert op1_secrets(spark, str(tmp_path)).count() == 8
     assert seen[0] >= sum(len(w) for t in texts for w in t)
+
+
+def test_a_text_is_hashed_once(spark):
+    """Else each run of a block hashes the whole text again, and a long text costs the square of its length."""
+    df = spark.createDataFrame([(" ".join(prose(7, 300)),)], "text string").select(F.explode(secrets.ordinary_runs(F.col("text"))).alias("run"))
+    plan = df._jdf.queryExecution().analyzed().toString()
+    assert df.count() > 5 and plan.count("xxhash64(text") == 1

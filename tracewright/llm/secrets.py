@@ -93,29 +93,39 @@ def battery(token: Column) -> Column:
     of the gamma distribution they give; too few runs above and below the middle of the alphabet, by the binomial
     number of changes; serial correlation at lag 1. Less than three characters score high.
     """
-    bare = F.regexp_replace(token, "=+$", "")
-    alphabet = F.lit(ENCODINGS[-1][1])
-    for pattern, letters in reversed(ENCODINGS[:-1]):
-        alphabet = F.when(bare.rlike(pattern), F.lit(letters)).otherwise(alphabet)
+
+    def off_middle(letters: str) -> Column:
+        """k, and by character code the distance from the middle of the alphabet, none of which is 0 as all alphabets are even."""
+        k = len(letters)
+        return F.struct(F.lit(float(k)).alias("k"), F.array(*[F.lit(letters.find(chr(i)) - (k - 1) / 2) for i in range(128)]).alias("off"))
+
+    encoding = lambda bare: F.coalesce(*[F.when(bare.rlike(pattern), off_middle(letters)) for pattern, letters in ENCODINGS[:-1]], off_middle(ENCODINGS[-1][1]))
+
+    def placed(v: Column) -> Column:
+        table, none = v["e"]["off"], F.get(v["e"]["off"], F.lit(0))  # no alphabet has the character of code 0
+        off = F.transform(v["symbols"], lambda c: F.coalesce(F.get(table, F.ascii(c)), none))
+        return let(F.struct(v["symbols"].alias("symbols"), off.alias("off"), v["e"]["k"].alias("k"), v["bare"].alias("bare")), products)
+
+    def products(v: Column) -> Column:
+        off, n = v["off"], F.greatest(F.size(v["off"]) - 1, F.lit(0))
+        lagged = F.zip_with(F.slice(off, F.lit(2), n), F.slice(off, F.lit(1), n), lambda x, y: x * y)
+        return let(F.struct(lagged.alias("lagged"), v["symbols"].alias("symbols"), v["k"].alias("k"), v["bare"].alias("bare")), tests)
 
     def tests(v: Column) -> Column:
-        codes, k = v["codes"], v["k"]
-        n = F.size(codes).cast("double")
-        counts = F.transform(F.array_distinct(F.split(v["bare"], "")), lambda c: (F.length(v["bare"]) - F.length(F.replace(v["bare"], c, F.lit("")))).cast("double"))
-        squares = F.aggregate(counts, F.lit(0.0), lambda s, c: s + c * c)
+        lagged, k = v["lagged"], v["k"]
+        length = F.length(v["bare"])
+        n = length.cast("double")
+        counts = F.transform(F.array_distinct(v["symbols"]), lambda c: length - F.length(F.replace(v["bare"], c, F.lit(""))))
+        squares = F.aggregate(counts, F.lit(0), lambda s, c: s + c * c).cast("double")
         chi, mean, variance = squares * k / n - n, k - 1, 2 * (k - 1) * (n - 1) / n
         shape = 9 * mean * mean / variance
         z_chi = (F.pow(chi / mean, F.lit(1 / 3)) - 1 + 1 / shape) * F.sqrt(shape)
-        after = F.sequence(F.lit(1), F.size(codes) - 1)
-        changes = F.size(F.filter(after, lambda i: (codes[i] < k / 2) != (codes[i - 1] < k / 2)))
+        changes = F.size(F.filter(lagged, lambda x: x < 0))
         z_runs = ((n - 1) - 2 * changes) / F.sqrt(n - 1)
-        mid = (k - 1) / 2
-        products = F.aggregate(after, F.lit(0.0), lambda s, i: s + (codes[i] - mid) * (codes[i - 1] - mid))
-        z_serial = products / ((k * k - 1) / 12 * F.sqrt(n - 1))
+        z_serial = F.aggregate(lagged, F.lit(0.0), lambda s, x: s + x) / ((k * k - 1) / 12 * F.sqrt(n - 1))
         return F.struct(F.when(n < 3, 99.0).otherwise((z_chi + z_runs + z_serial) / math.sqrt(3)).alias("score"), k.cast("int").alias("k"))
 
-    codes = lambda a: F.transform(F.filter(F.split(bare, ""), lambda c: c != ""), lambda c: (F.instr(a, c) - 1).cast("double"))
-    return let(alphabet, lambda a: let(F.struct(codes(a).alias("codes"), F.length(a).cast("double").alias("k"), bare.alias("bare")), tests))
+    return let(F.regexp_replace(token, "=+$", ""), lambda bare: let(F.struct(bare.alias("bare"), F.split(bare, "").alias("symbols"), encoding(bare).alias("e")), placed))
 
 
 def band(length: Column) -> Column:
@@ -143,8 +153,8 @@ def ordinary_run(text: Column) -> Column:
 
 def _evenly(n: Column, least: Column) -> Column:
     """Bounds that part ``n`` things into consecutive parts alike in size, of ``least`` each if there are so many."""
-    parts = F.greatest(F.floor(n / least), F.lit(1)).cast("int")
-    return F.transform(F.sequence(F.lit(0), parts), lambda i: F.floor(i.cast("long") * n / parts).cast("int"))
+    sized = F.struct(n.cast("long").alias("n"), F.greatest(F.floor(n / least), F.lit(1)).cast("int").alias("parts"))
+    return let(sized, lambda v: F.transform(F.sequence(F.lit(0), v["parts"]), lambda i: F.floor(i * v["n"] / v["parts"]).cast("int")))
 
 
 def ordinary_runs(text: Column) -> Column:
@@ -153,22 +163,24 @@ def ordinary_runs(text: Column) -> Column:
     Every whole word lies in a block of BLOCK words or more, and every character of a joined block in one run. A hash of
     the text and the block's place choose one of LENGTHS, which runs have at least if the block holds it, and how words
     are joined: in camel case, by an underline, a hyphen, a slash, or as they are. Every third word ends in a number.
+    The text is hashed once, and each block's hash is taken of that.
     """
 
-    def block(ws: Column, turn: Column) -> Column:
-        ws = F.transform(ws, lambda w, i: F.when(i % 3 == 2, F.concat(F.lower(w), F.pmod(F.xxhash64(w), F.lit(100)).cast("string"))).otherwise(F.lower(w)))
-        form = F.pmod(F.shiftrightunsigned(turn, 8), F.lit(5))
-        length = F.get(F.array(*map(F.lit, LENGTHS)), F.pmod(turn, F.lit(len(LENGTHS))).cast("int"))
+    def block(v: Column) -> Column:
+        ws = F.transform(v["ws"], lambda w, i: let(F.lower(w), lambda x: F.when(i % 3 == 2, F.concat(x, F.pmod(F.xxhash64(w), F.lit(100)).cast("string"))).otherwise(x)))
+        length = F.get(F.array(*map(F.lit, LENGTHS)), F.pmod(v["turn"], F.lit(len(LENGTHS))).cast("int"))
+        form = F.pmod(F.shiftrightunsigned(v["turn"], 8), F.lit(5))
         joined = F.when(form == 0, F.array_join(F.transform(ws, F.initcap), ""))
         for i, mark in enumerate(("_", "-", "/", "")):
-            joined = F.when(form == i + 1, F.array_join(ws, mark)).otherwise(joined)
+            joined = joined.when(form == i + 1, F.array_join(ws, mark))
         return let(joined, lambda j: let(_evenly(F.length(j), length), lambda at: F.transform(F.slice(at, F.lit(1), F.size(at) - 1), lambda x, i: F.substring(j, x + 1, F.get(at, i + 1) - x))))
 
-    def runs(words: Column) -> Column:
-        each = lambda at: F.transform(F.slice(at, F.lit(1), F.size(at) - 1), lambda x, i: block(F.slice(words, x + 1, F.get(at, i + 1) - x), F.xxhash64(text, i)))
-        return F.filter(F.flatten(let(_evenly(F.size(words), F.lit(BLOCK)), each)), lambda r: F.length(r) >= MIN_RANDOM)
+    def runs(v: Column) -> Column:
+        part = lambda at, x, i: F.struct(F.slice(v["words"], x + 1, F.get(at, i + 1) - x).alias("ws"), F.xxhash64(v["hash"], i).alias("turn"))
+        each = lambda at: F.transform(F.slice(at, F.lit(1), F.size(at) - 1), lambda x, i: let(part(at, x, i), block))
+        return F.filter(F.flatten(let(_evenly(F.size(v["words"]), F.lit(BLOCK)), each)), lambda r: F.length(r) >= MIN_RANDOM)
 
-    return let(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), runs)
+    return let(F.struct(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("words"), F.xxhash64(text).alias("hash")), runs)
 
 
 def ordinary(runs: DataFrame) -> dict[tuple[int, int], tuple[float, float]]:
