@@ -21,6 +21,8 @@ FIT_TOXIC, FIT_CLEAN = 1000, 2500
 NEIGHBOURS, BLOCK, AHEAD = 25, 32, 8
 #: A term is frequent if more than 1/DENSE of the examples have it; texts that are scored at once.
 DENSE, BATCH = 32, 64
+#: Rows that are given back at once.
+OUT = 512
 #: A neighbour's vote is its cosine to this power; as much prior weight as PRIOR exact neighbours have.
 POWER, PRIOR = 2.0, 0.05
 EVIDENCE = 5
@@ -28,6 +30,12 @@ EVIDENCE = 5
 _WORD = re.compile(r"\w+")
 
 
+def texts_of(column: pa.Array) -> Iterator[list[str | None]]:
+    """The texts of an Arrow column, BATCH at once: a batch of 10,000 whole texts is not held a second time as strings."""
+    for k in range(0, len(column), BATCH):
+        yield column.slice(k, BATCH).to_pylist()
+
+
 def words(text: str | None) -> Counter:
     return Counter(_WORD.findall(text.lower())) if text else Counter()
 
@@ -187,7 +195,7 @@ def _frequencies(corpus: DataFrame, place: dict[str, int]) -> tuple[int, np.ndar
         known, sums, rows = shared.value, np.zeros(len(shared.value), dtype=np.int64), 0
         for batch in batches:
             rows += batch.num_rows
-            for text in batch.column(0).to_pylist():
+            for text in (t for some in texts_of(batch.column(0)) for t in some):
                 if text:
                     sums[[known[w] for w in known.keys() & set(_WORD.findall(text.lower()))]] += 1
         used = np.flatnonzero(sums)
@@ -290,7 +298,7 @@ def score(docs: DataFrame, index: BlockMaxIndex, id_col: str = "doc_id", text_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = shared.value.score(batch.column(1).to_pylist())
+            got = [g for some in texts_of(batch.column(1)) for g in shared.value.score(some)]
             evidence = [[{"example_id": i, "cosine": c, "label": y} for i, c, y in g[1]] for g in got]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([g[0] for g in got], pa.float64()), pa.array(evidence, kind)], names=["doc_id", "score", "evidence"])
 
@@ -317,7 +325,9 @@ def reject(docs: DataFrame, labels: DataFrame, folds: int = 5, id_col: str = "do
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
-            yield batch.filter(pa.array([p < 0.5 for p, _ in shared.value.score(texts)], pa.bool_()))
+            at = batch.schema.get_field_index(text_col)
+            for k in range(0, batch.num_rows, OUT):  # no second copy of a whole batch, here or on its way back
+                part = batch.slice(k, OUT)
+                yield part.filter(pa.array([p < 0.5 for some in texts_of(part.column(at)) for p, _ in shared.value.score(some)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
