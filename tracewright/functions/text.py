@@ -218,11 +218,15 @@ def snippet(text: Column, first: int = 40, most: int = 600) -> Column:
     return F.filter(lines, lambda x: F.trim(x) != "")
 
 
-def path_id(database: Column, file: Column, start: Column, end: Column, entry: Column, schema: Column, procedure: Column, snapshot: Column, modules: Column, operation: Column, conditions: Column) -> Column:
-    """``P-`` and 12 hex digits of the SHA-256 over eleven segments, joined by the unit separator; nulls count as ''.
+def id_segments(*segments: Column) -> Column:
+    """Segments of a path's id as one text, nulls as '', so that those of a chain or an invocation are put together once."""
+    return F.concat_ws("\x1f", *[F.coalesce(s.cast("string"), F.lit("")) for s in segments])
 
-    ``modules`` are joined by ``|`` and ``conditions`` by the record separator; the names are comparison keys.
+
+def path_id_of(*joined: Column) -> Column:
+    """``P-`` and 12 hex digits of the SHA-256 over eleven segments, given as texts of ``id_segments`` in their order.
+
+    These are database, file, start, end, entry, schema, procedure, snapshot, modules, operation and conditions, joined by
+    the unit separator; modules are joined by ``|``, conditions by the record separator; the names are comparison keys.
     """
-    segments = [database, file, start, end, entry, schema, procedure, snapshot, F.array_join(modules, "|"), operation, F.array_join(conditions, "\x1e")]
-    joined = F.concat_ws("\x1f", *[F.coalesce(s.cast("string"), F.lit("")) for s in segments])
-    return F.concat(F.lit("P-"), F.substring(F.sha2(joined, 256), 1, 12))
+    return F.concat(F.lit("P-"), F.substring(F.sha2(id_segments(*joined), 256), 1, 12))
